@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog import Catalog, table
-from tidemill.llm import bitmaps, frequent, quantiles, tokenize
+from tidemill.llm import bitmaps, frequent, leakage, quality, quantiles, tokenize
 from tidemill.storage import materialize
 
 catalog = Catalog()
@@ -122,3 +122,50 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Every text encoded and decoded again: its length in bytes and its MD5."""
     back = tokenize.decoded(tokenize.token_ids(table(spark, d, "documents")))
     return back.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+# ---------------------------------------------------------------- 9: test passages in training text
+
+
+@catalog.query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
+
+
+@catalog.query()
+def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents carry each leaked item, and the longest stretch of it."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), details=True)
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("item_words").alias("longest_words"))
+
+
+# ---------------------------------------------------------------- 10: text quality
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality.classify(quality.statistics(docs), quality.learn(docs, table(spark, d, "doc_labels")))
+
+
+@catalog.query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).where(F.col("kind").isin(*quality.KINDS)).select("doc_id")
+
+
+@catalog.query()
+def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).select("doc_id", "kind", *[F.round(c, 6).alias(c) for c in quality.RATIOS])
+
+
+_STATS = r"""
+WITH e AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, '\r\n|\n|\r'), lambda x: regexp_matches(x, '[^\s\pZ]'))) AS BIGINT) AS n_lines,
+ CAST(len(regexp_extract_all(t, '\pL')) AS BIGINT) AS letters, CAST(len(regexp_extract_all(t, '\pN')) AS BIGINT) AS digits,
+ round(CAST(len(regexp_extract_all(t, '[,;|\t=]')) AS DOUBLE), 6) AS commas, NOT regexp_matches(t, '[^\s\pZ]') AS blank FROM e
+"""
+
+
+@catalog.query(_STATS)
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    s = quality.statistics(table(spark, d, "documents"))
+    return s.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_lines", "letters", "digits")], "commas", "blank")
