@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog import Catalog, table
-from tidemill.llm import bitmaps, frequent, leakage, quality, quantiles, tokenize
+from tidemill.llm import bitmaps, encoding, frequent, leakage, quality, quantiles, tokenize
 from tidemill.storage import materialize
 
 catalog = Catalog()
@@ -169,3 +169,19 @@ SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, '\r\n|\n|\r'), lamb
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     s = quality.statistics(table(spark, d, "documents"))
     return s.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_lines", "letters", "digits")], "commas", "blank")
+
+
+# ---------------------------------------------------------------- 5: wrong charsets
+
+
+@catalog.query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "webpages")
+    return encoding.garbled(pages, encoding.train(pages))
+
+
+@catalog.query()
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The pages concerned, with their text restored where it can be, and how many pieces of it were."""
+    pages = table(spark, d, "webpages")
+    return encoding.garbled(pages, encoding.train(pages), restored=True)
