@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog import Catalog, table
-from tidemill.llm import bitmaps, encoding, frequent, leakage, quality, quantiles, tokenize
+from tidemill.llm import bitmaps, boilerplate, encoding, frequent, leakage, quality, quantiles, tokenize
 from tidemill.storage import materialize
 
 catalog = Catalog()
@@ -185,3 +185,17 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     """The pages concerned, with their text restored where it can be, and how many pieces of it were."""
     pages = table(spark, d, "webpages")
     return encoding.garbled(pages, encoding.train(pages), restored=True)
+
+
+# ---------------------------------------------------------------- 7: main body of pages
+
+
+@catalog.query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_body(table(spark, d, "webpages"))
+
+
+@catalog.query()
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each main line, without its tags."""
+    return boilerplate.main_body(table(spark, d, "webpages"), with_text=True)
