@@ -1 +1 @@
-
+"""Chains of steps and their compilation."""

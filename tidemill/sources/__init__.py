@@ -1 +1 @@
-
+"""Sources of tables."""

@@ -1 +1 @@
-
+"""Event-time operators."""
