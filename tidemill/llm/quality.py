@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Common words of seven languages, in the order of languages English, German, French, Spanish, Portuguese, Polish, Russian.
@@ -52,7 +52,7 @@ def _left(of: str, pattern: str) -> str:
 
 _PIECES = f"filter(transform(split(t, {_q(r'[.!?。！？\n]+')}), x -> trim(x)), x -> length(x) > 3)"
 #: lines joined where a line of 35 characters or more goes on in the next one
-_UNWRAP = r"(?<=[^\n]{35})\r?\n(?=[^\s])"
+_UNWRAP = r"\r?\n(?<=[^\n]{35}\n)(?=[^\s])"
 _LINES = f"filter(split(t, {_q(r'\r\n|\n|\r')}), l -> not l rlike {_q(r'^[\s\p{Z}]*$')})"
 _UNITS = f"filter(split(regexp_replace(t, {_q(_UNWRAP)}, ' '), {_q(r'\r\n|\n|\r')}), l -> not l rlike {_q(r'^[\s\p{Z}]*$')})"
 
@@ -60,7 +60,7 @@ _LISTED = ", ".join(f"'{w}'" for w in sorted(set(COMMON_WORDS)))
 #: of each unit its length (n), words (w; of scripts without spaces two characters make one), common words (k), numbers (m)
 _MEASURED = (
     f"transform(units, l -> struct(l as l, length(l) as n, filter(split(lower(l), {_q(r'[^\p{L}\p{N}]+')}), x -> x <> '') as ws,"
-    f" (length(l) - length(regexp_replace(l, {_q(f'[{_CJK}]+')}, ''))) div 2 as cjk))"
+    f" if(octet_length(l) = length(l), 0L, (length(l) - length(regexp_replace(l, {_q(f'[{_CJK}]+')}, ''))) div 2) as cjk))"
 )
 _COUNTED = f"transform(measured, u -> struct(u.l as l, u.n as n, size(u.ws) + u.cjk as w, size(filter(u.ws, x -> x in ({_LISTED}))) as k, size(filter(u.ws, x -> x rlike '^[0-9]+$')) as m))"
 #: a line of prose: sentences of words with enough common ones among them, not a bullet, a row of cells or numbers, or code
@@ -119,12 +119,22 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     t = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = df.select(F.col(f"`{id_col}`").alias("_id"), t.alias("t"))
-    base = base.withColumns({"lines": F.expr(_LINES), "units": F.expr(_UNITS), "pieces": F.expr(_PIECES)})
-    base = base.withColumn("measured", F.expr(_MEASURED)).withColumn("u", F.expr(_COUNTED))
-    counts = base.select("_id", (F.size("lines") == 0).alias("blank"), *[F.expr(e).alias(k) for k, e in FEATURES.items()])
+    base = _once(base, ["_id", "t"], {"lines": F.expr(_LINES), "units": F.expr(_UNITS), "pieces": F.expr(_PIECES)})
+    base = _once(base, ["_id", "t", "lines", "pieces"], {"measured": F.expr(_MEASURED)})
+    base = _once(base, ["_id", "t", "lines", "pieces"], {"u": F.expr(_COUNTED)})
+    counts = _once(base, ["_id"], {"blank": F.size("lines") == 0} | {k: F.expr(e) for k, e in FEATURES.items()})
     return counts.select(F.col("_id").alias(id_col), "blank", *FEATURES, *[F.expr(e).alias(k) for k, e in RATIOS.items()])
 
 
+def _once(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:
+    """New columns that are worked out once for each row.
+
+    They pass through a generator of one row: a later filter or column isn't pushed below it, which would put the
+    expressions, and those that they are built from, into each place that uses them.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in new.items()]))))
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
