@@ -33,6 +33,11 @@ class Sink:
 
     fused = True
 
+    @property
+    def single(self) -> bool:
+        """Whether the sink's table has one row for each group."""
+        return self.fused
+
     def columns(self, keep: Column | None = None) -> dict[str, Column]:
         raise NotImplementedError
 
@@ -416,7 +421,7 @@ class GroupBy(Sink):
         table = self.table(df)
         out: dict[Any, Any] = {}
         inner = self.sink.sink if isinstance(self.sink, GroupBy) else self.sink
-        single = isinstance(inner, Sink) and inner.fused
+        single = isinstance(inner, Sink) and inner.single
         for r in table.collect():
             key = r[0] if own == 1 else tuple(r[:own])
             rest = dict(zip(table.columns[own:], r[own:]))

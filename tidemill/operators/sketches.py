@@ -19,7 +19,7 @@ def register_bits(error_rate: float) -> int:
         raise ValueError("error_rate must lie between 0 and 1")
     p = math.ceil(2 * math.log2(1.04 / error_rate))
     if not 4 <= p <= 16:
-        raise ValueError(f"error_rate {error_rate} needs 2^{p} registers; from about 0.00407 to 0.26 is possible")
+        raise ValueError(f"error_rate {error_rate} needs 2^{p} registers; from about 0.00407 to 0.367 is possible")
     return p
 
 

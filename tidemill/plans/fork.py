@@ -34,7 +34,8 @@ def fork(df: DataFrame, sinks: dict[str, Sink] | Sequence[Sink]) -> Any:
     named = dict(sinks) if isinstance(sinks, dict) else {f"s{i}": s for i, s in enumerate(sinks)}
     others = [n for n, s in named.items() if not s.fused]
     out: dict[str, Any] = {}
-    held = df.persist(StorageLevel.MEMORY_AND_DISK) if others and len(named) > 1 else df
+    mine = bool(others) and len(named) > 1 and not df.is_cached
+    held = df.persist(StorageLevel.MEMORY_AND_DISK) if mine else df
     try:
         parts = fused_columns(named)
         if parts:
@@ -44,8 +45,8 @@ def fork(df: DataFrame, sinks: dict[str, Sink] | Sequence[Sink]) -> Any:
         for name in others:
             out[name] = named[name].run(held)
     finally:
-        if held is not df:
-            held.unpersist()
+        if mine:
+            held.unpersist(blocking=True)
     return {n: out[n] for n in named} if isinstance(sinks, dict) else tuple(out[n] for n in named)
 
 

@@ -111,6 +111,10 @@ class Piped(Sink):
     def __post_init__(self) -> None:
         self.fused = self.sink.fused and not self.before.steps
 
+    @property
+    def single(self) -> bool:
+        return self.sink.single
+
     def columns(self, keep: Column | None = None) -> dict[str, Column]:
         return self.sink.columns(keep)
 

@@ -30,9 +30,9 @@ def read_parquet_directory(spark: SparkSession, path: str, schema: Any = None, *
     reader = spark.read if partition_columns else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*")
     if schema is not None:
         reader = reader.schema(as_schema(schema))
-    if keep is None:
+    if keep is None and not _stray(spark, path):
         return reader.parquet(path)
-    files = [f for f in list_files(spark, path) if keep(f)]
+    files = [f for f in list_files(spark, path) if keep is None or keep(f)]
     if not files:
         if schema is None:
             raise ValueError("no file is left, and there is no schema to give an empty table")
@@ -40,6 +40,15 @@ def read_parquet_directory(spark: SparkSession, path: str, schema: Any = None, *
     return (reader.option("basePath", path) if partition_columns else reader).parquet(*files)
 
 
+def _stray(spark: SparkSession, path: str) -> bool:
+    """Whether a directory has marker files that Spark itself would take for data."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/{*,*/*,*/*/*,*/*/*/*}_$folder$"))
+    return found is not None and len(found) > 0
+
+
 def hidden(name: str) -> bool:
     """Whether a directory entry is none of the data."""
     return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith((".crc", "._COPYING_", "_$folder$"))
