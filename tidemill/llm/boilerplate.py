@@ -106,6 +106,7 @@ def elements(text: str) -> list[Element]:
                 buffer.clear()
                 if plain and not hidden:
                     plain = html.unescape(plain) if "&" in plain else plain
+                    plain = " ".join(plain.split()) if cells else plain
                     row = "pre" if pre else "li" if kind == "tr" and cells == 1 else kind or "text"
                     out.append(Element(number, row, plain, block, home))
                 kind, cells = "", 0

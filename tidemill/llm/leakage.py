@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,11 +75,11 @@ def _windows(ids: np.ndarray, owner: np.ndarray, mask: str, m: int) -> tuple[np.
 class _Block:
     """The seeds of a block of items, sorted by hash, and the items' words as numbers."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
+    def __init__(self, items: list[tuple[int, list[str], list[bool]]]) -> None:
         self.vocab: dict[str, int] = {}
         number = self.vocab
-        seqs = [np.array([number.setdefault(w, len(number) + 1) for w in ws], np.int64) for _, ws in items]
-        self.ids = [i for i, _ in items]
+        seqs = [np.array([number.setdefault(w, len(number) + 1) for w in ws], np.int64) for _, ws, _ in items]
+        self.ids = [i for i, _, _ in items]
         self.start = np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)
         self.words = np.concatenate(seqs) if seqs else np.empty(0, np.int64)
         owner = np.repeat(np.arange(len(seqs)), np.diff(self.start))
@@ -89,9 +90,7 @@ class _Block:
         order = np.argsort(h, kind="stable")
         self.hash, self.at, self.mask = h[order], at[order], mask_of[order]
         self.item = owner[self.at] if len(self.at) else self.at
-        #: rare words: in at most a 32nd of the items (two items, if they are few); names and numbers, not phrases
-        df = np.bincount(np.unique(np.stack([owner, self.words]), axis=1)[1], minlength=len(number) + 1) if len(seqs) else np.zeros(1, np.int64)
-        self.rare = (df <= max(2, len(seqs) // 32))[self.words] if len(seqs) else np.empty(0, bool)
+        self.rare = np.array([r for _, _, rs in items for r in rs], bool)
         self.maybe = np.zeros(_FILTER, bool)
         self.maybe[(self.hash & np.uint64(_FILTER - 1)).astype(np.int64)] = True
 
@@ -182,7 +181,8 @@ def leaks(
     min_words: int = 16,
     differ: float = 1.5,
     least_share: float = 0.65,
-    least_rare: float = 0.6,
+    least_rare: float = 0.5,
+    least_same: float = 0.75,
     least_cover: int = 6,
     block_words: int = 200_000,
     details: bool = False,
@@ -190,8 +190,9 @@ def leaks(
     """Each document with each item of which it carries a stretch of at least ``min_words`` words: doc_id, item_id.
 
     A stretch counts if its alignment (1 for a word that matches, ``differ`` off for one that doesn't) comes to
-    ``least_share`` of ``min_words`` and ``least_rare`` of its rare words (names, numbers) match, so that texts of the
-    same build with other names and numbers aren't found.
+    ``least_share`` of ``min_words``, ``least_same`` of its words match, and ``least_rare`` of its rare words, two at
+    least. Rare are words in at most a 32nd of all items, or in two if they are few: names and numbers, not phrases; so
+    texts of the same build with other names and numbers aren't found.
     With ``details`` also item_words (words of the item that the stretch spans), same_words and doc_words. Null and
     empty texts carry nothing and are never found. Items of fewer than ``min_words`` words can't be found. An id that
     occurs in several rows is given for each of them. ``block_words`` bounds the words of the items that are broadcast
@@ -222,8 +223,9 @@ def leaks(
                         text = ids[max(start[d], lo - reach) : min(start[d + 1], hi + reach)]
                         score, i, j, same, wide = align(seq, text, differ)
                         rare = items_.rare[items_.start[k] + i : items_.start[k] + j]
+                        n_rare, n_same = int(rare.sum()), int((rare & same[i:j]).sum())
                         # the ends of a stretch may be words that differ, so it can come out two words short
-                        if j - i >= min_words - 2 and score >= least_share * min_words and (rare & same[i:j]).sum() >= least_rare * rare.sum():
+                        if j - i >= min_words - 2 and score >= least_share * min_words and same.sum() >= least_same * max(j - i, wide) and n_same >= max(min(2, n_rare), least_rare * n_rare):
                             found.append((first + d, items_.ids[k], j - i, int(same.sum()), wide))
                 cols = [b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64())]
                 if details:
@@ -235,17 +237,27 @@ def leaks(
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _blocks(items: DataFrame, block_words: int, min_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items' words in blocks of at most ``block_words`` words (or one item), read one partition at a time."""
+def _blocks(items: DataFrame, block_words: int, min_words: int) -> Iterator[list[tuple[int, list[str], list[bool]]]]:
+    """The items' words, and which of them are rare, in blocks of at most ``block_words`` words (or one item).
+
+    The items are read twice, one partition at a time; in between the driver holds a count for each different word of the items.
+    """
+    src = items.where(F.col(items.columns[1]).isNotNull() & F.col(items.columns[0]).isNotNull())
+    df: Counter = Counter()
+    n = 0
+    for row in src.toLocalIterator():
+        df.update(set(words(row[1])))
+        n += 1
+    limit = max(2, n // 32)
     block, size = [], 0
-    for row in items.where(F.col(items.columns[1]).isNotNull()).toLocalIterator():
+    for row in src.toLocalIterator():
         ws = words(row[1])
-        if len(ws) < min_words - 2 or row[0] is None:
+        if len(ws) < min_words - 2:
             continue
         if block and size + len(ws) > block_words:
             yield block
             block, size = [], 0
-        block.append((row[0], ws))
+        block.append((row[0], ws, [df[w] <= limit for w in ws]))
         size += len(ws)
     if block:
         yield block
