@@ -105,6 +105,15 @@ def test_leak_edges(spark, planted):
     assert leakage.words("It’s <i>ONE</i>&nbsp;word_two, 3.5") == ["its", "one", "word", "two", "3", "5"] and leakage.words(None) == []
 
 
+def test_long_and_repeated_texts(spark, planted):
+    """The passage is found at the end of a long document, behind thousands of near misses."""
+    _, items, _ = planted
+    text = items.where("item_id = 5").first()["text"]
+    near = " ".join(text.split()[:9])
+    docs = spark.createDataFrame([(1, (near + " word filler again ") * 3000 + " " + " ".join(text.split()[30:60])), (2, (near + " word filler again ") * 3000)], "doc_id bigint, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()] == [(1, 5)]
+
+
 def test_alignment_by_brute_force():
     rnd = random.Random(5)
     for _ in range(60):

@@ -133,8 +133,8 @@ def align(item: np.ndarray, doc: np.ndarray, differ: float) -> tuple[float, int,
     return best, i, where[0], same, where[1] - j
 
 
-def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover: int) -> list[tuple[int, int, int, int]]:
-    """(document, item, first, last place) of pairs whose hits cover at least ``least_cover`` words of the item, one of them rare."""
+def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover: int) -> list[tuple[int, int, np.ndarray]]:
+    """(document, item, places of the hits in order) of pairs whose hits cover at least ``least_cover`` words of the item, one of them rare."""
     docs, places, items, at, mask_of = [], [], [], [], []
     for m, mask in enumerate(MASKS):
         h, at_doc = _windows(ids, owner, mask, m)
@@ -157,7 +157,7 @@ def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover:
         return []
     d, p, it, a, mk = map(np.concatenate, (docs, places, items, at, mask_of))
     pair = d * len(block.ids) + it
-    order = np.argsort(pair, kind="stable")
+    order = np.lexsort((p, pair))
     d, p, it, a, mk, pair = (x[order] for x in (d, p, it, a, mk, pair))
     starts = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1])
     # the item's words under the hits, each counted once
@@ -166,8 +166,18 @@ def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover:
     flat = np.unique(np.stack([np.repeat(np.cumsum(np.isin(np.arange(len(pair)), starts)) - 1, 5), cover.ravel()], 1), axis=0)
     n_cover = np.bincount(flat[:, 0], minlength=len(starts))
     n_rare = np.bincount(flat[:, 0], weights=block.rare[flat[:, 1]], minlength=len(starts))
-    lo, hi = np.minimum.reduceat(p, starts), np.maximum.reduceat(p, starts)
-    return [(int(d[s]), int(it[s]), int(x), int(y)) for s, c, r, x, y in zip(starts, n_cover, n_rare, lo, hi) if c >= least_cover and r >= 1]
+    ends = np.append(starts[1:], len(pair))
+    return [(int(d[s]), int(it[s]), p[s:e]) for s, e, c, r in zip(starts, ends, n_cover, n_rare) if c >= least_cover and r >= 1]
+
+
+def _stretches(ids: np.ndarray, places: np.ndarray, start: int, end: int, reach: int) -> Iterator[np.ndarray]:
+    """The document's words around the hits, in overlapping stretches of four times ``reach`` at most: a passage of the
+    item's length around any hit lies whole in one of them, however long the document and however often it repeats."""
+    i = 0
+    while i < len(places):
+        at = places[i]
+        yield ids[max(start, at - reach) : min(end, at + 3 * reach)]
+        i = int(np.searchsorted(places, at + 2 * reach, "left"))
 
 
 def leaks(
@@ -217,16 +227,17 @@ def leaks(
                     owner = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
                     ids = np.array([x for s in seqs for x in s], np.int64)
                     start = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-                    for d, k, lo, hi in _candidates(items_, ids, owner, least_cover):
+                    for d, k, places in _candidates(items_, ids, owner, least_cover):
                         seq = items_.words[items_.start[k] : items_.start[k + 1]]
-                        reach = len(seq) + len(seq) // 4 + 8
-                        text = ids[max(start[d], lo - reach) : min(start[d + 1], hi + reach)]
-                        score, i, j, same, wide = align(seq, text, differ)
-                        rare = items_.rare[items_.start[k] + i : items_.start[k] + j]
-                        n_rare, n_same = int(rare.sum()), int((rare & same[i:j]).sum())
-                        # the ends of a stretch may be words that differ, so it can come out two words short
-                        if j - i >= min_words - 2 and score >= least_share * min_words and same.sum() >= least_same * max(j - i, wide) and n_same >= max(min(2, n_rare), least_rare * n_rare):
-                            found.append((first + d, items_.ids[k], j - i, int(same.sum()), wide))
+                        rare_ = items_.rare[items_.start[k] : items_.start[k + 1]]
+                        for text in _stretches(ids, places, start[d], start[d + 1], len(seq) + len(seq) // 4 + 8):
+                            score, i, j, same, wide = align(seq, text, differ)
+                            rare = rare_[i:j]
+                            n_rare, n_same = int(rare.sum()), int((rare & same[i:j]).sum())
+                            # the ends of a stretch may be words that differ, so it can come out two words short
+                            if j - i >= min_words - 2 and score >= least_share * min_words and same.sum() >= least_same * max(j - i, wide) and n_same >= max(min(2, n_rare), least_rare * n_rare):
+                                found.append((first + d, items_.ids[k], j - i, int(same.sum()), wide))
+                                break
                 cols = [b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64())]
                 if details:
                     cols += [pa.array([f[i] for f in found], pa.int32()) for i in (2, 3, 4)]
