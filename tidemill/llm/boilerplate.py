@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ CONTAINERS = frozenset("html body header nav main article section aside footer d
 INNER = frozenset("table tbody thead tfoot ul ol dl pre blockquote figure tr td p font span b i em strong".split())
 HIDDEN = frozenset("script style title meta link noscript template head".split())
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<!--.*?-->|<![^<>]*>", re.S)
-_END = re.compile(r"[.!?。！？…][\"”’»）)\]]*\s*$")
+_CLOSERS = " \t\r\n\"”’»）)]"
+_STOPS = ".!?。！？…"
 _COMMENT = re.compile(r"^[^\W\d_]{2,30}\d{1,4}\s?: ")
 _BULLET = re.compile(r"^\s*(?:[-*•‣◦▪·–+]|\d{1,3}[.)])\s+")
 _HASHTAGS = re.compile(r"^(?:#[^\s#]+\s*){2,}$")
@@ -40,6 +42,7 @@ _TRAIL = re.compile(r"\s+(?:>|»|›|/|→|\||·|•)\s+")
 _BROKEN = re.compile(r"\s(?:…|\.\.\.)\s*$")
 _BYLINE = re.compile(r"^.{3,60}?[,·|–-]\s*\d{1,4}[./-]\d{1,2}[./-]\d{1,4}$")
 _CODE = re.compile(r"[│├└─░▒▓┌┐]|^±|[\w/-]\.[a-z]{2,4}$|[{};]\s*$|\w\(.*\)|>>|::|[=|]{1}.*[=|]|^\s*\S+\t|\d\s?%$|\s{3,}\S")
+_BETWEEN = re.compile(r"\s\s|\s[>»›/→|·•]\s")
 _GAPS = re.compile(r"\s{2,}")
 _EAST = re.compile(r"[぀-鿿가-힯]")
 _NUMBER = re.compile(r"\d+")
@@ -52,15 +55,31 @@ SIMPLE = frozenset("p li h1 h2 h3 h4 a span div b i font figcaption blockquote t
 
 
 class Element:
-    __slots__ = ("line", "kind", "text", "block", "home", "hash")
+    __slots__ = ("line", "kind", "text", "block", "home", "hash", "_prose")
 
     def __init__(self, line: int, kind: str, text: str, block: int, home: str) -> None:
         self.line, self.kind, self.text, self.block, self.home = line, kind, text, block, home
-        level = " ".join(_NUMBER.sub("0", text).split()).casefold()
-        level = level.removesuffix("(0)").rstrip() or level
-        # the last bit says whether the text is a label, such as a button's: a few words that end without a stop
-        label = len(level) <= 34 and level.count(" ") <= 3 and not _END.search(level) and (len(level) <= 12 or level.isascii() or not _EAST.search(level))
-        self.hash = (xxhash.xxh64_intdigest(level) - (1 << 63)) & ~1 | label
+        self.hash = _hash(text)
+        self._prose: bool | None = None
+
+
+def _ended(text: str) -> bool:
+    """Whether the text ends with a stop, closing quotes and brackets aside."""
+    return (text.rstrip(_CLOSERS)[-1:] or " ") in _STOPS
+
+
+@lru_cache(1 << 16)  # menus and footers come again and again
+def _hash(text: str) -> int:
+    """A hash of the text with numbers, case and spacing levelled; its last bit says whether the text is a label.
+
+    A label, such as a button's, is a few words that end without a stop. Long texts are hashed as they are.
+    """
+    if len(text) > 120:
+        return (xxhash.xxh64_intdigest(text) - (1 << 63)) & ~1
+    level = " ".join(_NUMBER.sub("0", text).split()).casefold()
+    level = level.removesuffix("(0)").rstrip() or level
+    label = len(level) <= 34 and level.count(" ") <= 3 and not _ended(level) and (len(level) <= 12 or level.isascii() or not _EAST.search(level))
+    return (xxhash.xxh64_intdigest(level) - (1 << 63)) & ~1 | label
 
 
 def elements(text: str) -> list[Element]:
@@ -88,15 +107,16 @@ def elements(text: str) -> list[Element]:
                     out.append(Element(number, "pre" if pre else "text", plain.strip(), block, home))
                 continue
             if (m := _WHOLE.match(part)) is not None:  # the usual line: one element, or one container's tag
-                name = m.group(1).lower()
+                name, plain = m.groups()
+                name = name.lower()
                 if name in SIMPLE:
-                    if not hidden and (plain := m.group(2).strip()):
+                    if not hidden and (plain := plain.strip()):
                         plain = html.unescape(plain) if "&" in plain else plain
                         out.append(Element(number, "pre" if pre else "li" if name == "tr" else name, plain, block, home))
                     continue
-            elif (m := _BOUND.match(part)) is not None and (name := m.group(2).lower()) in CONTAINERS:
+            elif (m := _BOUND.match(part)) is not None and (name := m[2].lower()) in CONTAINERS:
                 block += 1
-                home = "text" if m.group(1) else name
+                home = "text" if m[1] else name
                 continue
             kind, cells, buffer, at = "", 0, [], 0
 
@@ -157,8 +177,18 @@ def elements(text: str) -> list[Element]:
 
 def _sentence(e: Element) -> bool:
     """Whether an element is prose: a sentence, or too long for a title."""
-    t = e.text
-    return len(t) >= 100 or bool(_END.search(t)) and (t.count(" ") >= 3 or len(t) >= 10 and bool(_EAST.search(t)))
+    if e._prose is None:
+        t = e.text
+        e._prose = len(t) >= 100 or (t.count(" ") >= 3 or len(t) >= 10 and bool(_EAST.search(t))) and _ended(t)
+    return e._prose
+
+
+def _tags(e: Element) -> bool:
+    return e.text[0] == "#" and bool(_HASHTAGS.match(e.text))
+
+
+def _comment(e: Element) -> bool:
+    return ": " in e.text[:40] and bool(_COMMENT.match(e.text))
 
 
 LINKS = frozenset(("a", "span", "i"))
@@ -173,10 +203,10 @@ def _box_head(rest: list[Element], template: set[int] | frozenset[int]) -> bool:
     first = next((e for e in rest if e.hash not in template), None)
     if first is None:
         return False
-    if _COMMENT.match(first.text) or _HASHTAGS.match(first.text):
+    if _comment(first) or _tags(first):
         return True
     few = [e for e in rest[:6] if e.hash not in template]
-    return _title(first) and 2 * sum(_title(e) or bool(_HASHTAGS.match(e.text)) for e in few) > len(few)
+    return _title(first) and 2 * sum(_title(e) or _tags(e) for e in few) > len(few)
 
 
 def _segments(els: list[Element], template: set[int] | frozenset[int]) -> list[list[Element]]:
@@ -221,16 +251,16 @@ def _segments(els: list[Element], template: set[int] | frozenset[int]) -> list[l
 
 def _opens(rest: list[Element], i: int) -> bool:
     """Whether an article starts here: a headline with a byline or a long paragraph right after it."""
-    if i + 1 >= len(rest) or not _title(rest[i]) or _HASHTAGS.match(rest[i].text) or rest[i].kind == "li":
+    if i + 1 >= len(rest) or not _title(rest[i]) or _tags(rest[i]) or rest[i].kind == "li":
         return False
-    prose = [e.kind != "li" and _sentence(e) and not _COMMENT.match(e.text) for e in rest[i + 1 : i + 3]]
+    prose = [e.kind != "li" and _sentence(e) and not _comment(e) for e in rest[i + 1 : i + 3]]
     return bool(_BYLINE.match(rest[i + 1].text)) or all(prose) and len(prose) == 2 and len(rest[i + 1].text) >= 80
 
 
 def _is_body(b: list[Element]) -> bool:
-    prose = [e for e in b if _sentence(e) and not _COMMENT.match(e.text)]
-    comments = sum(bool(_COMMENT.match(e.text)) for e in b)
-    titles = sum(_title(e) and not _HASHTAGS.match(e.text) for e in b)
+    prose = [e for e in b if _sentence(e) and not _comment(e)]
+    comments = sum(_comment(e) for e in b)
+    titles = sum(_title(e) and not _tags(e) for e in b)
     if not prose or comments > len(prose):
         return False
     # a list of other pages: titles, each with a first sentence that is broken off
@@ -244,7 +274,7 @@ def main_lines(text: str, template: frozenset[int] | set[int]) -> list[int]:
     """The numbers of the lines that hold text of the main body, given the hashes that recur on the host."""
     keep: list[int] = []
     for b in _segments(elements(text), template):
-        b = [e for e in b if not (_HASHTAGS.match(e.text) or _COMMENT.match(e.text) or _bar(e) or _link_line(e, template))]
+        b = [e for e in b if not (_tags(e) or _comment(e) or _bar(e) or _link_line(e, template))]
         if not b or not _is_body(b):
             continue
         for i, e in enumerate(b):
@@ -255,7 +285,7 @@ def main_lines(text: str, template: frozenset[int] | set[int]) -> list[int]:
 
 def _bar(e: Element) -> bool:
     """Crumbs, and bars of short labels side by side."""
-    if e.kind in ("pre", "tr") or _END.search(e.text) or _CODE.search(e.text) and "   " in e.text:
+    if e.kind in ("pre", "tr") or not _BETWEEN.search(e.text) or _ended(e.text) or _CODE.search(e.text) and "   " in e.text:
         return False
     if e.kind != "text" and len(gaps := _GAPS.split(e.text)) >= 3 and all(len(x) <= 34 for x in gaps):
         return True
@@ -265,9 +295,11 @@ def _bar(e: Element) -> bool:
 
 def _lead(e: Element) -> str | None:
     """The beginning of a line such as "Read also: Title", if it is built like one."""
+    if ":" not in e.text[:41]:
+        return None
     head, colon, tail = e.text.partition(":")
     tail = tail.strip()
-    if not colon or not tail or len(head) > 40 or tail[0].islower() or e.kind in ("h1", "h2", "h3", "h4", "b") or _END.search(tail):
+    if not colon or not tail or len(head) > 40 or tail[0].islower() or e.kind in ("h1", "h2", "h3", "h4", "b") or _ended(tail):
         return None
     return head
 
@@ -275,7 +307,7 @@ def _lead(e: Element) -> str | None:
 def _link_line(e: Element, template: set[int] | frozenset[int]) -> bool:
     """A line such as "Read also: title", whose beginning recurs."""
     head = _lead(e)
-    return head is not None and Element(0, "", head, 0, "").hash in template
+    return head is not None and _hash(head) in template
 
 
 def _stays(e: Element, first: bool, before: Element | None, after: Element | None) -> bool:
@@ -284,7 +316,7 @@ def _stays(e: Element, first: bool, before: Element | None, after: Element | Non
         return False
     if e.kind in ("pre", "tr"):
         return True
-    ended = bool(_END.search(e.text))
+    ended = _ended(e.text)
     if e.kind == "li" or e.kind in LINKS:
         return ended
     if e.kind == "text" and not ended and not first:
@@ -321,7 +353,7 @@ def templates(pages: DataFrame, *, url_col: str = "url", body_col: str = "conten
                 for e in elements(declared(b.as_py())):
                     own.add(e.hash)
                     if (head := _lead(e)) is not None:
-                        own.add(Element(0, "", head, 0, "").hash)
+                        own.add(_hash(head))
                 hashes.extend(own)
                 counts.append(len(own))
             at = pa.array(np.repeat(np.arange(x.num_rows), counts))
