@@ -54,7 +54,9 @@ _PIECES = f"filter(transform(split(t, {_q(r'[.!?。！？\n]+')}), x -> trim(x))
 #: lines joined where a line of 35 characters or more goes on in the next one
 _UNWRAP = r"\r?\n(?<=[^\n]{35}\n)(?=[^\s])"
 _LINES = f"filter(split(t, {_q(r'\r\n|\n|\r')}), l -> not l rlike {_q(r'^[\s\p{Z}]*$')})"
-_UNITS = f"filter(split(regexp_replace(t, {_q(_UNWRAP)}, ' '), {_q(r'\r\n|\n|\r')}), l -> not l rlike {_q(r'^[\s\p{Z}]*$')})"
+#: sentences: cut at line ends, and at white space behind a stop that follows a letter (not behind a number of a list)
+_CUT = r"[\r\n]+|(?<=[\p{L})”’\"»][.!?…][\"”’»)\]]{0,2})\s+"
+_UNITS = f"filter(split(regexp_replace(t, {_q(_UNWRAP)}, ' '), {_q(_CUT)}), l -> not l rlike {_q(r'^[\s\p{Z}]*$')})"
 
 _LISTED = ", ".join(f"'{w}'" for w in sorted(set(COMMON_WORDS)))
 #: of each unit its length (n), words (w; of scripts without spaces two characters make one), common words (k), numbers (m)
@@ -63,7 +65,7 @@ _MEASURED = (
     f" if(octet_length(l) = length(l), 0L, (length(l) - length(regexp_replace(l, {_q(f'[{_CJK}]+')}, ''))) div 2) as cjk))"
 )
 _COUNTED = f"transform(measured, u -> struct(u.l as l, u.n as n, size(u.ws) + u.cjk as w, size(filter(u.ws, x -> x in ({_LISTED}))) as k, size(filter(u.ws, x -> x rlike '^[0-9]+$')) as m))"
-#: a line of prose: sentences of words with enough common ones among them, not a bullet, a row of cells or numbers, or code
+#: a sentence of prose: words with enough common ones among them, not a bullet, a row of cells or numbers, or code
 _IS_PROSE = (
     "u.m * 4 <= u.w and u.n > 3 and ((u.w >= 8 and u.k * 8 >= u.w)"
     f" or (u.w >= 4 and u.k * 6 >= u.w and u.l rlike {_q(r'^\s*[\p{Lu}¿¡].*[.!?…]' + _CLOSE + r'\s*$')})"
@@ -71,7 +73,7 @@ _IS_PROSE = (
     f" and not u.l rlike {_q(_BULLET)} and {_left('u.l', r'[^|=<>{}\t]+')} + size(split(u.l, '   +')) - 1 <= 1 + u.n / 100"
 )
 
-#: name -> SQL expression over text (t), its non-blank lines (lines), those unwrapped and counted (u), and its sentences (pieces)
+#: name -> SQL expression over text (t), its non-blank lines (lines), its sentences with their counts (u), and stretches between stops (pieces)
 FEATURES = {
     "n_words": "cast(aggregate(u, 0L, (a, x) -> a + x.w) as double)",
     "n_lines": "cast(size(lines) as double)",
