@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog import Catalog, table
+from tidemill.destinations import to_json, write_csv, write_json, write_parquet
 from tidemill.functions import address, lists, value
 from tidemill.functions import time as tm
 from tidemill.operators import joins, sketches
 from tidemill.operators.sinks import All, Any_, Collect, Combine, Count, GroupBy, Histogram, Max, MaxBy, Mean, Min, MinBy, MostDistinct, MostFrequent, Sample, SortN, StdDev, Sum
 from tidemill.plans.flow import Flow
 from tidemill.plans.pipe import Filtered, Identity, Piped
+from tidemill.sources.csv import read_csv
+from tidemill.sources.json import read_json, read_json_concatenated
+from tidemill.sources.parquet import read_parquet, read_parquet_directory
 from tidemill.sources.weblog import parse_lines
+from tidemill.storage import new_path
 from tidemill.streaming import windows
 
 catalog = Catalog()
@@ -341,6 +346,53 @@ def weblog_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("request_id", "edge_location", "response_bytes", "remote_ip", "method", "status", "user_agent", "request_bytes", "time_taken", "time")
 
 
+@catalog.query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written as CSV without a header and read back with a schema, of which every row must fit."""
+    c, path = table(spark, d, "customer"), new_path(spark, "csv")
+    write_csv(c, path)
+    return read_csv(spark, path, c.schema)
+
+
+@catalog.query("SELECT event_id, user_id, event_type, value, props FROM events")
+def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    e, path = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props"), new_path(spark, "json")
+    write_json(e, path)
+    return read_json(spark, path, e.schema)
+
+
+@catalog.query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def json_concatenated_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Objects one after another in a line, a thousand to a line, all of which must come back."""
+    s, path = table(spark, d, "supplier"), new_path(spark, "jsonc")
+    lines = s.groupBy(F.expr("s_suppkey div 1000")).agg(F.array_join(F.collect_list(to_json(*s.columns)), "").alias("value"))
+    lines.select("value").write.text(path)
+    return read_json_concatenated(spark, path, s.schema)
+
+
+@catalog.query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+def parquet_directory_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """A directory of key=value folders: the filter on the folder's column prunes files, and only two columns are read."""
+    path = new_path(spark, "tree")
+    write_parquet(table(spark, d, "orders"), path, partition_by=["o_orderstatus"])
+    return read_parquet_directory(spark, path).where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+@catalog.query("SELECT l_orderkey, l_tax FROM lineitem UNION ALL SELECT l_orderkey, l_tax FROM lineitem")
+def parquet_files_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """The same file twice in a list gives its rows twice; the schema's columns are checked in the footer first."""
+    return read_parquet(spark, [f"{d}/lineitem.parquet"] * 2, "l_orderkey bigint, l_tax double")
+
+
+@catalog.query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS is_number, false AS is_text, NULL::BIGINT AS missing FROM events")
+def dynamic_values(spark: SparkSession, d: str) -> DataFrame:
+    """Tests and typed extraction of a dynamic value; what isn't there is null."""
+    v = value.parse(F.col("props"))
+    rows = flow(spark, d, "events").map("event_id", v.alias("v"))
+    v = F.col("v")
+    return rows.map("event_id", value.get(v, "i64", "$.k").alias("k"), value.is_kind(v, "i64", "$.k").alias("is_number"), F.coalesce(value.is_kind(v, "string", "$.k"), F.lit(False)).alias("is_text"), value.try_get(v, "i64", "$.none").alias("missing")).df
+
+
 # ---------------------------------------------------------------- beyond the reference: native joins, windows, event time
 
 
