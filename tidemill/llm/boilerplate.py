@@ -200,6 +200,7 @@ def _title(e: Element) -> bool:
 
 def _box_head(rest: list[Element], template: set[int] | frozenset[int]) -> bool:
     """Whether what follows a recurring line are titles, tags or comments: the slots of a box."""
+    rest = [e for e in rest if not _bar(e)]
     first = next((e for e in rest if e.hash not in template), None)
     if first is None:
         return False
@@ -232,7 +233,8 @@ def _segments(els: list[Element], template: set[int] | frozenset[int]) -> list[l
             while k < n and els[k].block == e.block and els[k].hash in template:
                 k += 1
             rest = [x for x in els[k : k + 8] if x.block == e.block]
-            if e.kind != "a" and _box_head(rest, template) and not _opens(rest, 0):
+            # in pages with markup a box has a block, or the beginning of one, to itself
+            if els[k - 1].hash & 1 and e.kind != "a" and (e.kind == "text" or not run) and _box_head(rest, template) and not _opens(rest, 0):
                 out.append(run)
                 run, boxed = [], True
             elif k - i > 1 or not e.hash & 1:
@@ -240,8 +242,11 @@ def _segments(els: list[Element], template: set[int] | frozenset[int]) -> list[l
                 run, boxed = [], False
             i = k
             continue
-        if boxed and e.kind == "text" and _opens([x for x in els[i : i + 3] if x.block == e.block], 0):
-            boxed = False
+        if boxed:
+            ahead = [x for x in els[i : i + 3] if x.block == e.block]
+            # a box has a sentence at its end at most; paragraphs one after another are the article again
+            if e.kind == "text" and _opens(ahead, 0) or len(ahead) > 1 and all(_sentence(x) and not _comment(x) and x.kind not in LINKS and x.kind != "li" for x in ahead[:2]):
+                boxed = False
         if not boxed:
             run.append(e)
         i += 1
