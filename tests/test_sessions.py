@@ -76,6 +76,18 @@ def test_empty_and_types(spark):
         S.chunk_forest(df, ["k"], "t", chunk_seconds=0)
 
 
+def test_times_without_zone_dont_depend_on_the_session(spark):
+    """Also across a change to summer time."""
+    df = spark.sql("SELECT 'k' AS k, t FROM VALUES (TIMESTAMP_NTZ'2031-03-09 01:59:50'), (TIMESTAMP_NTZ'2031-03-09 02:30:00'), (TIMESTAMP_NTZ'2031-07-01 00:00:00') AS v(t)")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sorted(r["start_s"] for r in S.cut(S.gap_forest(df, ["k"], "t"), 60).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [1930787990, 1930789800, 1940630400]
+
+
 def test_hot_entity_stays_bounded(spark):
     """However often an entity is seen, a chunk gets at most one row a second."""
     df = spark.range(200_000).selectExpr("'hot' AS k", "id % 300 AS t")

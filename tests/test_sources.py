@@ -175,7 +175,7 @@ def test_memory(spark):
 def test_time_functions(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-02-29 01:17:03.5' AS n, TIMESTAMP'2024-07-01 12:00:00Z' AS z, 60L AS d, '2024-02-30' AS bad, '2024-01-02T03:04:05+02:00' AS iso")
     r = df.select(
-        tm.truncate_minutes_ntz(F.col("n"), 15).cast("string").alias("q"), tm.truncate_minutes_ntz(F.col("n"), 60).cast("string").alias("h"), tm.ordinal(F.col("n")).alias("o"), tm.nanosecond(F.col("n")).alias("ns"),
+        tm.truncate_minutes(F.col("n"), 15).cast("string").alias("q"), tm.truncate_minutes(F.col("n"), 60).cast("string").alias("h"), tm.ordinal(F.col("n")).alias("o"), tm.nanosecond(F.col("n")).alias("ns"),
         tm.from_days(F.col("d")).cast("string").alias("fd"), tm.from_ordinal(F.lit(2024), F.lit(60)).cast("string").alias("fo"), tm.from_ordinal(F.lit(2023), F.lit(366)).alias("fx"), tm.from_seconds(F.lit(61)).alias("fs"),
         tm.from_seconds(F.lit(86_400)).alias("fy"), tm.offset_seconds(F.col("z"), "Europe/Paris").alias("off"), tm.without_timezone(F.col("z"), "+05:00").cast("string").alias("wall"),
         tm.with_timezone(F.col("n"), "+01:00").cast("string").alias("inst"), tm.parse_date(F.col("bad")).alias("pd"), tm.parse_datetime(F.col("iso")).cast("string").alias("pt"), tm.truncate_time(F.lit(3_723_000_000_000), 15).alias("tt"),

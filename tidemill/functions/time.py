@@ -10,14 +10,8 @@ def truncate_minutes(ts: Column, minutes: int) -> Column:
     """The start of the time's slot of ``minutes`` minutes within its hour; ``minutes`` must divide 60. Keeps the type with or without zone."""
     if minutes < 1 or 60 % minutes:
         raise ValueError("minutes must divide 60")
-    hour = F.date_trunc("hour", ts)
-    whole = F.timestamp_add("MINUTE", F.minute(ts) - F.pmod(F.minute(ts), F.lit(minutes)), hour)
-    return whole
-
-
-def truncate_minutes_ntz(ts: Column, minutes: int) -> Column:
-    """As truncate_minutes for a time without zone, whose truncation Spark gives with one."""
-    return truncate_minutes(ts, minutes).cast("timestamp_ntz")
+    # taken off as an interval, which leaves a time without zone without one, whatever the session's zone
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(F.minute(ts), F.lit(minutes)), F.extract(F.lit("SECOND"), ts))
 
 
 def truncate_time(nanos: Column, minutes: int) -> Column:

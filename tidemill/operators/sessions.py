@@ -185,12 +185,12 @@ def epoch_seconds(df: DataFrame, name: str) -> Column:
     """Whole epoch seconds, rounded down, of a timestamp column (without zone: as UTC); other types are cast to bigint."""
     kind, col = df.schema[name].dataType, F.col(f"`{name}`")
     if isinstance(kind, T.TimestampNTZType):
-        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
-    elif isinstance(kind, T.TimestampType):
+        # from its parts: a difference of times without zone would go through the session's zone
+        return (F.unix_date(col.cast("date")).cast("bigint") * 86_400 + F.hour(col) * 3_600 + F.minute(col) * 60 + F.second(col)).cast("bigint")
+    if isinstance(kind, T.TimestampType):
         micros = F.unix_micros(col)
-    else:
-        return col.cast("bigint")
-    return ((micros - F.pmod(micros, F.lit(1_000_000))) / F.lit(1_000_000)).cast("bigint")
+        return ((micros - F.pmod(micros, F.lit(1_000_000))) / F.lit(1_000_000)).cast("bigint")
+    return col.cast("bigint")
 
 
 def _schema(df: DataFrame, keys: list[str]) -> T.StructType:
