@@ -208,6 +208,15 @@ def test_restores_what_was_read_wrongly(model, lang, read, written):
         assert model.restore(bad)[0] == text
 
 
+def test_vocabulary_is_of_all_pages_and_without_misread_words(spark):
+    """A word of few pages is known although the sample lacks it; a word misread on pages of several hosts isn't."""
+    bad = CLEAN["ru"][0].encode("cp1251").decode("cp1252")
+    rows = [(k, f"http://h{k % 7}.test/{k}", f'<html lang="ru"><p>{CLEAN["ru"][k % 3]}</p><p>{bad if k % 40 == 0 else "x"}</p><p>{"Ёлкина" if k in (5, 6, 7) else ""}</p>'.encode()) for k in range(480)]
+    m = encoding.train(spark.createDataFrame(rows, "page_id bigint, url string, contents binary"), sample=1)
+    m.ready()
+    assert m.unknown("Ёлкина") == 0 and all(m.unknown(w) for w in bad.rstrip(".").split() if len(w) > 1)
+
+
 def test_read_wrongly_twice(model):
     text = CLEAN["de"][0]
     bad = text.encode().decode("latin-1").encode().decode("latin-1")
