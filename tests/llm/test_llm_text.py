@@ -223,6 +223,12 @@ def test_read_wrongly_twice(model):
     assert model.restore(bad)[0] == text and len(model.restore(bad)[1]) == 2
 
 
+def test_a_step_in_between_needs_not_be_from_utf8(model):
+    text = CLEAN["de"][1]
+    bad = text.encode().decode("cp1252").encode("cp850").decode("cp1252")
+    assert model.restore(bad) == (text, ["cp1252>cp850", "cp1252>utf-8"])
+
+
 def test_clean_text_is_left(spark, model):
     pages = [("\n".join(v)).encode() for v in CLEAN.values()] + [b"", None, "<p>ASCII only &amp; more</p>".encode(), '<meta charset="windows-1251"><p>Второй узел</p>'.encode("cp1251"), "&eacute;glise apr&egrave;s".encode(), b'<meta charset="nonsense">x']
     bad = ["FÃ¤hre fÃ¼r GÃ¤ste".encode(), "Die G�ste".encode(), "&Atilde;&frac14;berpr&Atilde;&frac14;ft alle".encode()]
