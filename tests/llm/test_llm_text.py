@@ -229,6 +229,16 @@ def test_a_step_in_between_needs_not_be_from_utf8(model):
     assert model.restore(bad) == (text, ["cp1252>cp850", "cp1252>utf-8"])
 
 
+def test_unknown_names_are_restored_and_clean_ones_left(model):
+    """A name that no page has: one token isn't known before, nor one after."""
+    for name in ("Проверякин", "Записывалов"):
+        for read, written in (("cp1252", "cp1251"), ("koi8_r", "cp1251")):
+            bad = name.encode(written).decode(read)
+            assert model.unknown(bad) == model.unknown(name) == 1 and model.restore(bad)[0] == name
+    for name in ("Мжаванадзе", "Ключевская", "Гречко"):
+        assert model.restore(name)[1] == []
+
+
 def test_clean_text_is_left(spark, model):
     pages = [("\n".join(v)).encode() for v in CLEAN.values()] + [b"", None, "<p>ASCII only &amp; more</p>".encode(), '<meta charset="windows-1251"><p>Второй узел</p>'.encode("cp1251"), "&eacute;glise apr&egrave;s".encode(), b'<meta charset="nonsense">x']
     bad = ["FÃ¤hre fÃ¼r GÃ¤ste".encode(), "Die G�ste".encode(), "&Atilde;&frac14;berpr&Atilde;&frac14;ft alle".encode()]
