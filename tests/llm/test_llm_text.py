@@ -308,6 +308,22 @@ def test_a_page_fetched_often_is_no_template(spark):
     assert got == {(i, n) for i in range(30) for n in want}
 
 
+@pytest.mark.parametrize("known", [30, 0])
+def test_pages_without_an_address_lose_their_template(spark, known):
+    """Also if all pages of the site are without one."""
+    rnd = random.Random(8)
+    rows, want = [], set()
+    for k in range(40):
+        lines, own = page(k, rnd)
+        # what only the count of hashes tells from the article: a notice built like a paragraph
+        lines.insert(own[2], "<p>We keep small files on your device so that we can count the visits to these pages every day.</p>")
+        own = [n + (n > own[2]) for n in own]
+        rows.append((k, f"http://site.test/{k}" if k < known else (None, "")[k % 2], "\n".join(lines).encode()))
+        want |= {(k, n) for n in own}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, contents binary")
+    assert {(r["page_id"], r["line_no"]) for r in boilerplate.main_body(df).collect()} == want
+
+
 def test_line_ends_and_plain_text():
     els = boilerplate.elements("<html><body>\r\n<p>one</p>\r\n<pre>\r\nlet x = f(1);\r\n</pre>\r\n<script>var a;</script>\r\n</body></html>")
     assert [(e.line, e.kind, e.text) for e in els] == [(2, "p", "one"), (4, "pre", "let x = f(1);")]

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.encoding import declared
+from tidemill.storage import materialize
 
 #: Elements that hold blocks, that are rows of text, and that never hold text of the page.
 CONTAINERS = frozenset("html body header nav main article section aside footer div form center frameset".split())
@@ -335,9 +336,32 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.expr(f"try_parse_url({url}, 'HOST')")), F.col(url), F.lit(""))
 
 
-def page_of(url: str) -> Column:
-    """What tells pages of a host apart: the address without scheme, fragment and where the visitor came from."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z]+://|#.*$", ""), r"[?&](?:ref|utm_[a-z]+|from|source)=[^&#]*", "")
+def _nowhere(url: str) -> Column:
+    """Whether a page has no address."""
+    return F.coalesce(F.col(url), F.lit("")) == ""
+
+
+def page_of(url: str, body: str) -> Column:
+    """A hash of what tells pages of a host apart: the address without scheme, fragment and where the visitor came from; the contents of pages without one."""
+    address = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z]+://|#.*$", ""), r"[?&](?:ref|utm_[a-z]+|from|source)=[^&#]*", "")
+    return F.when(_nowhere(url), F.xxhash64(body)).otherwise(F.xxhash64(address))
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, page and contents to host, page, hash: one row for each different hash of a page."""
+    for x in batches:
+        hashes, counts = [], []
+        for b in x.column(2):
+            # 0 stands for the page itself
+            own = {0}
+            for e in elements(declared(b.as_py())):
+                own.add(e.hash)
+                if (head := _lead(e)) is not None:
+                    own.add(_hash(head))
+            hashes.extend(own)
+            counts.append(len(own))
+        at = pa.array(np.repeat(np.arange(x.num_rows), counts))
+        yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array(hashes, pa.int64())], names=["host", "page", "hash"])
 
 
 def templates(pages: DataFrame, *, url_col: str = "url", body_col: str = "contents", share: float = 0.2, least: int = 3) -> DataFrame:
@@ -345,26 +369,11 @@ def templates(pages: DataFrame, *, url_col: str = "url", body_col: str = "conten
 
     For labels (see Element) a tenth of that share is enough.
 
-    A page fetched many times counts once, by its address.
+    A page fetched many times counts once, by its address; pages without one count by their contents.
     """
-    src = pages.where(F.col(body_col).isNotNull()).select(host_of(url_col).alias("host"), F.xxhash64(page_of(url_col)).alias("page"), F.col(body_col).alias("b"))
+    src = pages.where(F.col(body_col).isNotNull()).select(host_of(url_col).alias("host"), page_of(url_col, body_col).alias("page"), F.col(body_col).alias("b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            hashes, counts = [], []
-            for b in x.column(2):
-                # 0 stands for the page itself
-                own = {0}
-                for e in elements(declared(b.as_py())):
-                    own.add(e.hash)
-                    if (head := _lead(e)) is not None:
-                        own.add(_hash(head))
-                hashes.extend(own)
-                counts.append(len(own))
-            at = pa.array(np.repeat(np.arange(x.num_rows), counts))
-            yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array(hashes, pa.int64())], names=["host", "page", "hash"])
-
-    seen = src.mapInArrow(run, "host string, page bigint, hash bigint")
+    seen = src.mapInArrow(_hashes, "host string, page bigint, hash bigint")
     counted = seen.select(F.xxhash64("host").alias("host"), "page", "hash").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     # the host's row of counts: the number of its pages is that of hash 0
     total = counted.where("hash = 0").select("host", F.col("n").alias("total"))
@@ -375,11 +384,16 @@ def templates(pages: DataFrame, *, url_col: str = "url", body_col: str = "conten
 def main_body(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "contents", share: float = 0.2, least: int = 3, salts: int = 16, with_text: bool = False) -> DataFrame:
     """The lines of each page's main body: the id column, line_no (from 1, split at LF), and the line's text if asked for.
 
-    Null and empty contents, and pages without a main body, give no rows. Pages without a host share the empty one.
+    Null and empty contents, and pages without a main body, give no rows. Of a page without an address goes what is
+    template on any host, and what recurs on ``share`` of all pages without one.
     """
-    hosts = templates(pages, url_col=url_col, body_col=body_col, share=share, least=least)
-    salted = hosts.select(F.col("host").alias("_h"), "hashes", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-    src = pages.where(F.col(body_col).isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(host_of(url_col)).alias("_host"), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(salts)).cast("int").alias("_salt"), F.col(body_col).alias("_b"))
+    hosts = materialize(templates(pages, url_col=url_col, body_col=body_col, share=share, least=least), "templates")
+    nowhere = _nowhere(url_col)
+    own = pages.where(F.col(body_col).isNotNull() & nowhere).select(F.lit("").alias("host"), F.xxhash64(body_col).alias("page"), F.col(body_col).alias("b")).mapInArrow(_hashes, "host string, page bigint, hash bigint").select("page", "hash").distinct()
+    anywhere = hosts.select(F.explode("hashes").alias("hash")).distinct()
+    theirs = own.join(anywhere, "hash").groupBy("page").agg(F.collect_list("hash").alias("hashes"))
+    salted = hosts.select(F.col("host").alias("_h"), "hashes", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s")).unionByName(theirs.select(F.col("page").alias("_h"), "hashes", F.lit(-1).alias("_s")))
+    src = pages.where(F.col(body_col).isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.when(nowhere, F.xxhash64(body_col)).otherwise(F.xxhash64(host_of(url_col))).alias("_host"), F.when(nowhere, -1).otherwise(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(salts)).cast("int")).alias("_salt"), F.col(body_col).alias("_b"))
     both = src.join(salted, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left").select("_id", "_host", "_b", "hashes")
     kind = pages.schema[id_col].dataType.simpleString()
 
