@@ -97,6 +97,22 @@ def test_planted_passages_are_found(planted, block):
     assert got == want
 
 
+def test_items_that_repeat_or_share_a_passage_are_found(spark):
+    rnd = random.Random(9)
+    shared, copy, near = item(rnd, 1), item(rnd, 1), item(rnd, 2).split()
+    items = [(i, item(rnd)) for i in range(40)]
+    items += [(100 + i, copy) for i in range(30)] + [(200 + i, item(rnd, 2) + " " + shared + " " + item(rnd, 2)) for i in range(12)]
+    for i in range(12):  # copies that differ in a word each
+        part = list(near)
+        part[2 * i % len(part)] = f"word{i}"
+        items.append((300 + i, " ".join(part)))
+    docs = [(1, "Before it. " + copy), (2, shared + " After it."), (3, " ".join(near)), (4, item(rnd)), (5, "Nothing of this was planned.")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(*df).collect()}
+    want = {(1, 100 + i) for i in range(30)} | {(2, 200 + i) for i in range(12)} | {(3, 300 + i) for i in range(12)}
+    assert not want - got and not got - want
+
+
 def test_leak_edges(spark, planted):
     docs, items, _ = planted
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0

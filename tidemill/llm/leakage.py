@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 #: The masks. Five words count in each; spans of 5 to 9 words.
 MASKS = ("11111", "110111", "1101011", "11010011", "110010101")
+LEAST_COMMON = 0.87  # share of equal words that a stretch needs if its rare words don't decide: 14 of 16
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--.{0,400}?-->", re.S)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -133,8 +134,8 @@ def align(item: np.ndarray, doc: np.ndarray, differ: float) -> tuple[float, int,
     return best, i, where[0], same, where[1] - j
 
 
-def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover: int) -> list[tuple[int, int, np.ndarray]]:
-    """(document, item, places of the hits in order) of pairs whose hits cover at least ``least_cover`` words of the item, one of them rare."""
+def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover: int, long_cover: int) -> list[tuple[int, int, np.ndarray]]:
+    """(document, item, places of the hits in order) of pairs whose hits cover at least ``least_cover`` words of the item, one of them rare or ``long_cover`` of them close together."""
     docs, places, items, at, mask_of = [], [], [], [], []
     for m, mask in enumerate(MASKS):
         h, at_doc = _windows(ids, owner, mask, m)
@@ -166,8 +167,13 @@ def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover:
     flat = np.unique(np.stack([np.repeat(np.cumsum(np.isin(np.arange(len(pair)), starts)) - 1, 5), cover.ravel()], 1), axis=0)
     n_cover = np.bincount(flat[:, 0], minlength=len(starts))
     n_rare = np.bincount(flat[:, 0], weights=block.rare[flat[:, 1]], minlength=len(starts))
+    # runs of the item's words of which nearly all are under hits
+    dense = np.zeros(len(starts), bool)
+    a, b = flat[: len(flat) - long_cover + 1], flat[long_cover - 1 :]
+    if len(b):
+        dense[a[(a[:, 0] == b[:, 0]) & (b[:, 1] - a[:, 1] < long_cover + long_cover // 3), 0]] = True
     ends = np.append(starts[1:], len(pair))
-    return [(int(d[s]), int(it[s]), p[s:e]) for s, e, c, r in zip(starts, ends, n_cover, n_rare) if c >= least_cover and r >= 1]
+    return [(int(d[s]), int(it[s]), p[s:e]) for s, e, c, r, run in zip(starts, ends, n_cover, n_rare, dense) if c >= least_cover and (r >= 1 or run)]
 
 
 def _stretches(ids: np.ndarray, places: np.ndarray, start: int, end: int, reach: int) -> Iterator[np.ndarray]:
@@ -201,8 +207,9 @@ def leaks(
 
     A stretch counts if its alignment (1 for a word that matches, ``differ`` off for one that doesn't) comes to
     ``least_share`` of ``min_words``, ``least_same`` of its words match, and ``least_rare`` of its rare words, two at
-    least. Rare are words in at most a 32nd of all items, or in two if they are few: names and numbers, not phrases; so
-    texts of the same build with other names and numbers aren't found.
+    least. Rare are words in at most a 32nd of all different items, or in two if they are few: names and numbers, not
+    phrases; so texts of the same build with other names and numbers aren't found. A stretch without rare
+    words, or one half as long again of which all rare words but one match, counts if nearly all of its words match.
     With ``details`` also item_words (words of the item that the stretch spans), same_words and doc_words. Null and
     empty texts carry nothing and are never found. Items of fewer than ``min_words`` words can't be found. An id that
     occurs in several rows is given for each of them. ``block_words`` bounds the words of the items that are broadcast
@@ -227,15 +234,17 @@ def leaks(
                     owner = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
                     ids = np.array([x for s in seqs for x in s], np.int64)
                     start = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-                    for d, k, places in _candidates(items_, ids, owner, least_cover):
+                    for d, k, places in _candidates(items_, ids, owner, least_cover, min_words - min_words // 4):
                         seq = items_.words[items_.start[k] : items_.start[k + 1]]
                         rare_ = items_.rare[items_.start[k] : items_.start[k + 1]]
                         for text in _stretches(ids, places, start[d], start[d + 1], len(seq) + len(seq) // 4 + 8):
                             score, i, j, same, wide = align(seq, text, differ)
                             rare = rare_[i:j]
                             n_rare, n_same = int(rare.sum()), int((rare & same[i:j]).sum())
+                            # without rare words nearly all words must be the same; also with all of them but one, in a long stretch
+                            enough = n_rare and n_same >= max(min(2, n_rare), least_rare * n_rare) or n_rare - n_same <= 1 and j - i >= (min_words * 3 // 2 if n_rare else min_words) and same.sum() >= LEAST_COMMON * max(j - i, wide)
                             # the ends of a stretch may be words that differ, so it can come out two words short
-                            if j - i >= min_words - 2 and score >= least_share * min_words and same.sum() >= least_same * max(j - i, wide) and n_same >= max(min(2, n_rare), least_rare * n_rare):
+                            if j - i >= min_words - 2 and score >= least_share * min_words and same.sum() >= least_same * max(j - i, wide) and enough:
                                 found.append((first + d, items_.ids[k], j - i, int(same.sum()), wide))
                                 break
                 cols = [b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64())]
@@ -251,13 +260,30 @@ def leaks(
 def _blocks(items: DataFrame, block_words: int, min_words: int) -> Iterator[list[tuple[int, list[str], list[bool]]]]:
     """The items' words, and which of them are rare, in blocks of at most ``block_words`` words (or one item).
 
-    The items are read twice, one partition at a time; in between the driver holds a count for each different word of the items.
+    Frequencies are over different texts: a copy of an item, or a passage of ``min_words`` words that an item shares with
+    others before it, counts once. The items are read twice, one partition at a time; in between the driver holds a count
+    for each different word, and a hash for each different passage, of the items.
     """
     src = items.where(F.col(items.columns[1]).isNotNull() & F.col(items.columns[0]).isNotNull())
     df: Counter = Counter()
     n = 0
+    seen: set[int] = set()  # hashes of the passages of min_words words so far
     for row in src.toLocalIterator():
-        df.update(set(words(row[1])))
+        ws = words(row[1])
+        span = min(min_words, len(ws))
+        own = [hash(tuple(ws[i : i + span])) for i in range(len(ws) - span + 1)] if ws else []
+        old = [h in seen for h in own]
+        if ws and all(old):
+            continue
+        # a word that stands in passages of other items only isn't counted again
+        until, fresh = 0, set()
+        for i, w in enumerate(ws):
+            if i < len(old) and old[i]:
+                until = i + span
+            if i >= until:
+                fresh.add(w)
+        df.update(fresh)
+        seen.update(own)
         n += 1
     limit = max(2, n // 32)
     block, size = [], 0
