@@ -43,6 +43,26 @@ def test_percentiles_of_merged_days_and_doubles(spark):
         quantiles.percentiles(empty, [1001])
 
 
+def test_levels_out_of_the_same_counts(spark):
+    """Every level's percentiles by brute force; null keys are groups of their own, and null in one key isn't null in the other."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice(["a", "b", None]), rnd.choice([None, 0, 1, 5, rnd.randrange(1000)])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "d string, e string, x int").repartition(5)
+    levels = {"both": ["d", "e"], "d": ["d"], "e": ["e"], "all": []}
+    freq = quantiles.roll_up(quantiles.frequencies(df, ["d", "e"], ["x"]), levels, ["d", "e"])
+    got = {(r["level"], r["d"], r["e"], r["permille"]): (r["value"], r["n"]) for r in quantiles.percentiles(freq, [0, 333, 1000]).collect()}
+    want = {}
+    for name, own in levels.items():
+        groups = {}
+        for d, e, x in rows:
+            if x is not None:
+                groups.setdefault((d if "d" in own else None, e if "e" in own else None), []).append(x)
+        for (d, e), xs in groups.items():
+            xs.sort()
+            want |= {(name, d, e, p): (xs[max(1, -(-p * len(xs) // 1000)) - 1], len(xs)) for p in (0, 333, 1000)}
+    assert got == want
+
+
 def test_hot_group_is_spread(spark):
     """A group with nearly all values lies in several range partitions."""
     df = spark.range(20_000).selectExpr("if(id % 50 = 0, 'cold', 'hot') AS g", "id AS x")

@@ -15,23 +15,26 @@ catalog = Catalog()
 
 PERMILLE = [10, 250, 500, 750, 900, 950, 990, 999]
 MEASURES = ["time_taken", "response_bytes"]
+LEVELS = {"day_edge": ["day", "edge_location"], "day": ["day"], "edge": ["edge_location"], "all": []}
 _PERCENTILES = f"""
-WITH long AS (SELECT edge_location, 'time_taken' AS measure, time_taken AS value FROM cloudfront WHERE time_taken IS NOT NULL
-  UNION ALL SELECT edge_location, 'response_bytes', response_bytes FROM cloudfront WHERE response_bytes IS NOT NULL),
-freq AS (SELECT edge_location, measure, value, count(*) AS k FROM long GROUP BY ALL),
-cum AS (SELECT *, CAST(sum(k) OVER (PARTITION BY edge_location, measure ORDER BY value) AS BIGINT) AS upto, CAST(sum(k) OVER (PARTITION BY edge_location, measure) AS BIGINT) AS n FROM freq),
+WITH long AS (SELECT CAST(time AS DATE) AS day, edge_location, 'time_taken' AS measure, time_taken AS value FROM cloudfront WHERE time_taken IS NOT NULL
+  UNION ALL SELECT CAST(time AS DATE), edge_location, 'response_bytes', response_bytes FROM cloudfront WHERE response_bytes IS NOT NULL),
+levels AS ({" UNION ALL ".join(f"SELECT '{name}' AS level, {'day' if 'day' in own else 'CAST(NULL AS DATE)'} AS day, {'edge_location' if 'edge_location' in own else 'CAST(NULL AS VARCHAR)'} AS edge_location, measure, value FROM long" for name, own in LEVELS.items())}),
+freq AS (SELECT level, day, edge_location, measure, value, count(*) AS k FROM levels GROUP BY ALL),
+cum AS (SELECT *, CAST(sum(k) OVER (PARTITION BY level, day, edge_location, measure ORDER BY value) AS BIGINT) AS upto, CAST(sum(k) OVER (PARTITION BY level, day, edge_location, measure) AS BIGINT) AS n FROM freq),
 p AS (SELECT CAST(unnest({PERMILLE}) AS INTEGER) AS permille)
-SELECT edge_location, measure, permille, value, n, CAST(0 AS BIGINT) AS max_rank_error
+SELECT level, day, edge_location, measure, permille, value, n, CAST(0 AS BIGINT) AS max_rank_error
 FROM cum, p WHERE greatest(1, (permille * n + 999) // 1000) > upto - k AND greatest(1, (permille * n + 999) // 1000) <= upto
 """
 
 
 @catalog.query(_PERCENTILES)
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of both measures for every edge_location, from counts of each day that are put together."""
+    """Percentiles of both measures for every day and edge_location, every day, every edge_location, and over all, from the written counts of the days."""
     cf = table(spark, d, "cloudfront")
-    days = quantiles.frequencies(cf, [F.to_date("time").alias("day"), F.col("edge_location")], MEASURES)
-    return quantiles.percentiles(quantiles.merge_frequencies(days, drop=("day",)), PERMILLE)
+    days = materialize(quantiles.frequencies(cf, [F.to_date("time").alias("day"), F.col("edge_location")], MEASURES), "day-frequencies")
+    levels = materialize(quantiles.roll_up(days, LEVELS, ["day", "edge_location"]), "level-frequencies")
+    return quantiles.percentiles(levels, PERMILLE)
 
 
 # ---------------------------------------------------------------- 4: distinct counts
