@@ -149,11 +149,25 @@ PROSE = "It was not clear to the team why the index grew, but they found that on
 
 
 def test_statistics(spark):
-    df = spark.createDataFrame([(1, "One two. Three!\n\n- four\r\n- five 5"), (2, None), (3, ""), (4, " \n\t "), (5, PROSE * 3), (6, "これは道具です。これは朝です。")], "doc_id bigint, text string")
+    df = spark.createDataFrame([(1, "One two. Three!\n\n- four\r\n- five 5", "x"), (2, None, "x"), (3, "", "x"), (4, " \n\t ", "x"), (5, PROSE * 3, "x"), (6, "これは道具です。これは朝です。", "x")], "doc_id bigint, text string, n_words string")
     s = {r["doc_id"]: r for r in quality.statistics(df).collect()}
     assert (s[1]["n_words"], s[1]["n_lines"], s[1]["numbers"], s[1]["bullet_share"], s[1]["blank"]) == (6, 3, 1, pytest.approx(2 / 3), False)
     assert all(s[i]["blank"] and s[i]["n_words"] == 0 and s[i]["common_share"] == 0 for i in (2, 3, 4))
-    assert s[5]["prose_share"] == 1 and s[5]["distinct_share"] == 0.5 and s[6]["prose_share"] == 1 and not s[6]["blank"]
+    assert s[5]["common_8_share"] == 1 and s[5]["distinct_share"] == 0.5 and s[6]["common_8_share"] == 1 and not s[6]["blank"]
+    assert quality.statistics(df.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from(list("aZ1 .,;|=\n\r\t-*“”…のは漢é²_")), max_size=60))
+def test_counts_by_brute_force(text):
+    got = quality.measure(text)
+    if not text.strip():
+        assert got is None
+        return
+    n = dict(zip((*quality.COUNTS, *quality.UNITS), got))
+    assert n["letters"] == sum(c.isalpha() for c in text) and n["digits"] == sum(c in "1²" for c in text) and n["filled"] == sum(not c.isspace() for c in text)
+    assert n["n_lines"] == sum(bool(x.strip()) for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
+    assert n["n_words"] == len("".join(c if c.isalnum() else " " for c in text).split()) + sum(c in "のは漢" for c in text) // 2
 
 
 def corpus(n, seed):
@@ -183,14 +197,23 @@ def test_rules_are_right_on_held_out_documents(spark):
     got = {r["doc_id"]: r["kind"] for r in quality.classify(quality.statistics(spark.createDataFrame(held, "doc_id bigint, text string, kind string")), rules).collect()}
     right = sum((got[i] == "prose") == (k == "prose") for i, _, k in held)
     assert right / len(held) > 0.95
+    for kind in quality.KINDS:  # the kinds too, each learned against all others
+        assert sum(got[i] == kind for i, _, k in held if k == kind) / sum(k == kind for *_, k in held) > 0.9
     assert quality.case_sql(rules).startswith("CASE WHEN blank")
 
 
-def test_few_labels_give_the_default_rules(spark):
-    docs = spark.createDataFrame([(1, PROSE)], "doc_id bigint, text string")
-    assert quality.learn(docs, spark.createDataFrame([(1, "a", "junk")], "doc_id bigint, annotator string, kind string")) == list(quality.DEFAULT_RULES)
-    kinds = quality.classify(quality.statistics(spark.createDataFrame([(1, PROSE), (2, "- a\n- b\n- c\n- d"), (3, None)], "doc_id bigint, text string")), list(quality.DEFAULT_RULES))
-    assert {r["doc_id"]: r["kind"] for r in kinds.collect()} == {1: "prose", 2: "list", 3: "blank"}
+def test_no_labels_leave_every_document_prose(spark):
+    docs = spark.createDataFrame([(1, PROSE), (2, "- a\n- b\n- c\n- d"), (3, None)], "doc_id bigint, text string")
+    rules = quality.learn(docs, spark.createDataFrame([(1, "a", "junk"), (9, "a", "list"), (None, "a", "list"), (2, "a", None)], "doc_id bigint, annotator string, kind string"))
+    assert {r["doc_id"]: r["kind"] for r in quality.classify(quality.statistics(docs), rules).collect()} == {1: "prose", 2: "prose", 3: "blank"}
+
+
+def test_a_threshold_ends_where_wrong_documents_outweigh(spark):
+    """A cut isn't stretched over a gap for two right ones among many wrong."""
+    x = np.array([[i / 100] for i in range(60)] + [[5 + i / 100] for i in range(40)])
+    y = np.array([True] * 60 + [i in (7, 31) for i in range(40)])
+    ((_, op, cut),) = quality._tighten([("v", "<=", 5.31)], x, y, ["v"])
+    assert op == "<=" and 0.59 < cut < 5
 
 
 # ---------------------------------------------------------------- wrong charsets

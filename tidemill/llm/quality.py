@@ -1,22 +1,28 @@
 """Text statistics per document, and a rule list learned from labelled documents that tells prose from the rest.
 
-The statistics are Column expressions and stay in the JVM. The rules are induced by
-incremental reduced-error pruning: a rule is grown on two thirds of the labelled
-documents, pruned on the other third, kept while it is right more often than wrong,
-and the documents it covers are set aside before the next rule. The list is ordered,
-the rarest kind first, and is exported as one SQL CASE expression of thresholds.
-
-Only the labelled documents, at most ``max_labelled`` of them, reach the driver, as
-rows of numbers. The statistics and the CASE expression are applied to every document
-in one pass without a shuffle.
+The statistics are taken in one pass over Arrow batches: a count of the characters, the words of each sentence, and
+the lines. The rules are induced by incremental reduced-error pruning: a rule is grown on two thirds of the labelled
+documents, pruned on the other third, its thresholds are set to where they are worth most on both, it is kept while it
+is right more often than wrong, and the documents it covers are set aside before the next rule. That is done for
+several divisions of the documents, and the list with the least description length (of its tests and its errors)
+stands. A first list tells what isn't prose; further ones tell tables, lists and junk from each other. All are exported as
+one SQL CASE expression of thresholds, which Spark applies to the statistics.
+
+Only the labelled documents, at most ``max_labelled`` of them, reach the driver, as rows of numbers. Statistics and
+CASE expression are applied to every document in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Common words of seven languages, in the order of languages English, German, French, Spanish, Portuguese, Polish, Russian.
@@ -29,71 +35,25 @@ COMMON_WORDS = (
     " aż bez co czy dla do i jak je jest każdej mimo można na nad nie o od oraz około po podczas poza przez przy się tak tym to w z za że"
     " а без более бы в во все где для до если же за и из или к как когда ли можно на не несмотря но о от по после почти с со так то у уже что чтобы это"
 ).split()
-_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
-_CLOSE = r"[\"”’»)\]]*"
-_BULLET = r"^\s*(?:[-*•‣◦▪·+–]|\d{1,4}[.):]|\d+(?:\.\d+)+|[a-z]\))\s"
-_PLAIN = r"[\p{L}\p{N}\p{Z}\s.,!?;:'\"’“”()…。、！？«»¿¡–-]+"  # what isn't a symbol
-_KANA = r"[\u3041-\u3096]"  # hiragana: what Japanese prose has instead of common words
-
-
-def _q(pattern: str) -> str:
-    """A pattern as an SQL string literal."""
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _count(of: str, pattern: str) -> str:
-    return f"cast(regexp_count({of}, {_q(pattern)}) as double)"
-
-
-def _left(of: str, pattern: str) -> str:
-    """How many characters are left when what matches is taken out: cheaper than counting matches one by one."""
-    return f"cast(length(regexp_replace({of}, {_q(pattern)}, '')) as double)"
-
-
-_PIECES = f"filter(transform(split(t, {_q(r'[.!?。！？\n]+')}), x -> trim(x)), x -> length(x) > 3)"
-#: lines joined where a line of 35 characters or more goes on in the next one
-_UNWRAP = r"\r?\n(?<=[^\n]{35}\n)(?=[^\s])"
-_LINES = f"filter(split(t, {_q(r'\r\n|\n|\r')}), l -> not l rlike {_q(r'^[\s\p{Z}]*$')})"
-#: sentences: cut at line ends, and at white space behind a stop that follows a letter (not behind a number of a list)
-_CUT = r"[\r\n]+|(?<=[\p{L})”’\"»][.!?…][\"”’»)\]]{0,2})\s+"
-_UNITS = f"filter(split(regexp_replace(t, {_q(_UNWRAP)}, ' '), {_q(_CUT)}), l -> not l rlike {_q(r'^[\s\p{Z}]*$')})"
-
-_LISTED = ", ".join(f"'{w}'" for w in sorted(set(COMMON_WORDS)))
-#: of each unit its length (n), words (w; of scripts without spaces two characters make one), common words (k), numbers (m)
-_MEASURED = (
-    f"transform(units, l -> struct(l as l, length(l) as n, filter(split(lower(l), {_q(r'[^\p{L}\p{N}]+')}), x -> x <> '') as ws,"
-    f" if(octet_length(l) = length(l), 0L, (length(l) - length(regexp_replace(l, {_q(f'[{_CJK}]+')}, ''))) div 2) as cjk))"
-)
-_COUNTED = f"transform(measured, u -> struct(u.l as l, u.n as n, size(u.ws) + u.cjk as w, size(filter(u.ws, x -> x in ({_LISTED}))) as k, size(filter(u.ws, x -> x rlike '^[0-9]+$')) as m))"
-#: a sentence of prose: words with enough common ones among them, not a bullet, a row of cells or numbers, or code
-_IS_PROSE = (
-    "u.m * 4 <= u.w and u.n > 3 and ((u.w >= 8 and u.k * 8 >= u.w)"
-    f" or (u.w >= 4 and u.k * 6 >= u.w and u.l rlike {_q(r'^\s*[\p{Lu}¿¡].*[.!?…]' + _CLOSE + r'\s*$')})"
-    f" or (u.l rlike {_q('[。？！]')} and {_left('u.l', f'[^{_KANA[1:-1]}]+')} * 4 >= u.n))"
-    f" and not u.l rlike {_q(_BULLET)} and {_left('u.l', r'[^|=<>{}\t]+')} + size(split(u.l, '   +')) - 1 <= 1 + u.n / 100"
-)
-
-#: name -> SQL expression over text (t), its non-blank lines (lines), its sentences with their counts (u), and stretches between stops (pieces)
-FEATURES = {
-    "n_words": "cast(aggregate(u, 0L, (a, x) -> a + x.w) as double)",
-    "n_lines": "cast(size(lines) as double)",
-    "letters": _left("t", r"[^\p{L}]+"),
-    "digits": _left("t", r"[^\p{N}]+"),
-    "symbols": _left("t", _PLAIN),
-    "kana": _left("t", f"[^{_KANA[1:-1]}]+"),
-    "filled": _left("t", r"\s+"),
-    "common": "cast(aggregate(u, 0L, (a, x) -> a + x.k) as double)",
-    "numbers": "cast(aggregate(u, 0L, (a, x) -> a + x.m) as double)",
-    "ended": f"cast(size(filter(lines, l -> l rlike {_q(r'[.!?。！？…]' + _CLOSE + r'\s*$')})) as double)",
-    "bulleted": f"cast(size(filter(lines, l -> l rlike {_q(_BULLET)})) as double)",
-    "commas": _left("t", r"[^,;|\t=]+"),
-    "tags": _count("t", r"<[/!a-zA-Z]|[{}]|::|\(\)|0x|https?://"),
-    "pieces": "cast(size(pieces) as double)",
-    "distinct_pieces": "cast(size(array_distinct(pieces)) as double)",
-    "unit_chars": "cast(aggregate(u, 0L, (a, x) -> a + x.n) as double)",
-    "prose_chars": f"cast(aggregate(filter(u, u -> {_IS_PROSE}), 0L, (a, x) -> a + x.n) as double)",
-    "capitals": _count("t", r"(?<![\p{L}\p{N}])\p{Lu}"),
-}
+_COMMON = frozenset(COMMON_WORDS)
+_WORD = re.compile(r"[^\W_]+")
+_LINE = re.compile(r"\r\n|\n|\r")
+_BULLET = re.compile(r"\s*(?:[-*•‣◦▪·+–]|\d{1,4}[.):]|\d+(?:\.\d+)+|[a-z]\))\s")
+_ENDED = re.compile(r"[.!?。！？…][\"”’»)\]]*\s*$")
+_TAGS = re.compile(r"<[/!a-zA-Z]|[{}]|::|\(\)|0x|https?://")
+_STOPS = re.compile(r"[.!?。！？\n]+")
+_MARKS = re.compile(r"[|=<>{}\t]|   +")
+#: where a sentence ends: at white space behind a stop that follows a letter (not behind a number of a list), quotes and brackets between them
+_CUT = re.compile(r"(?<=[^\W\d_][.!?…])\s+|(?<=[)”’\"»][.!?…])\s+|(?<=[^\W\d_][.!?…][\"”’»)\]])\s+|(?<=[。！？])")
+_PLAIN = frozenset(".,!?;:'\"’“”()…。、！？«»¿¡–-")  # what isn't a symbol, beside letters, numbers and white space
+_OPENERS = frozenset("¿¡\"“«(")
+_WRAP = 35  # a line of that many characters goes on in the next one, if that isn't indented
+
+#: of each document: counts of words, lines, characters of some classes, words and lines of some kinds, stretches between stops
+COUNTS = ("n_words", "n_lines", "letters", "digits", "kana", "symbols", "filled", "commas", "common", "numbers", "ended", "bulleted", "tags", "pieces", "distinct_pieces")
+#: characters in sentences with one common word in so many, of all, and of those that also begin and end like a sentence or are long
+GRID = (4, 6, 8, 12)
+UNITS = ("unit_chars", *(f"common_{g}" for g in GRID), *(f"sentence_{g}" for g in GRID), "long", "marked", "listed", "sentences")
 #: the statistics that rules may use: name -> expression over the counts above
 RATIOS = {
     "mean_word_length": "(letters + digits) / greatest(n_words, 1)",
@@ -107,34 +67,114 @@ RATIOS = {
     "tag_ratio": "tags / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
     "distinct_share": "(distinct_pieces + 1) / (pieces + 1)",
-    "prose_share": "prose_chars / greatest(unit_chars, 1)",
-    "capital_share": "capitals / greatest(n_words, 1)",
-}
+} | {f"{u}_share": f"{u} / greatest(unit_chars, 1)" for u in UNITS[1:]}
 KINDS = ("table", "list", "junk")
+OTHER = "other"  # the kind of the rules that tell what isn't prose
+
+_LETTER, _DIGIT, _KANA, _SYMBOL, _BLANK, _COMMA, _EAST = range(7)
+_classes: dict[str, tuple[int, ...]] = {}
+
+
+def _class(c: str) -> tuple[int, ...]:
+    """The classes of a character."""
+    k = unicodedata.category(c)[0]
+    is_ = {
+        _LETTER: k == "L",
+        _DIGIT: k == "N",
+        _KANA: "ぁ" <= c <= "ゖ",  # hiragana: what Japanese prose has instead of common words
+        _SYMBOL: k not in "LNZ" and not c.isspace() and c not in _PLAIN,
+        _BLANK: c.isspace(),
+        _COMMA: c in ",;|\t=",
+        _EAST: "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff",
+    }
+    if len(_classes) < 100_000:
+        _classes[c] = tuple(i for i, x in is_.items() if x)
+    return tuple(i for i, x in is_.items() if x)
+
+
+def _sentences(lines: list[str]) -> Iterator[str]:
+    """Sentences: wrapped lines are joined, then cut at stops."""
+    joined: list[str] = []
+    for x in lines:
+        if joined and len(joined[-1]) >= _WRAP and not x[0].isspace():
+            joined[-1] += " " + x
+        else:
+            joined.append(x)
+    for x in joined:
+        for p in _CUT.split(x):
+            if p and not p.isspace():
+                yield p
+
+
+def measure(text: str | None) -> list[int] | None:
+    """The COUNTS and UNITS of a text; None if it is null, empty or blank."""
+    lines = [x for x in _LINE.split(text) if x and not x.isspace()] if text else []
+    if not lines:
+        return None
+    n_of = [0] * 7
+    for c, n in Counter(text).items():
+        for i in _classes.get(c) or _class(c):
+            n_of[i] += n
+    marks = _MARKS.search(text) is not None
+    words = common = numbers = 0
+    unit = dict.fromkeys(UNITS, 0)
+    for u in _sentences(lines):
+        n = len(u)
+        ws = _WORD.findall(u)
+        k = sum(map(_COMMON.__contains__, map(str.lower, ws)))
+        m = sum(map(str.isdecimal, ws))
+        w = len(ws)
+        words, common, numbers = words + w, common + k, numbers + m
+        share = k / w if w else 0.0
+        east = 0
+        if n_of[_EAST] and not u.isascii():
+            of = [_classes.get(c) or _class(c) for c in u]
+            east = sum(_EAST in x for x in of) // 2  # in scripts without spaces two characters are a word
+            share = max(share, sum(_KANA in x for x in of) / n / 2)
+        w += east
+        unit["unit_chars"] += n
+        listed = _BULLET.match(u) is not None
+        if listed:
+            unit["listed"] += n
+        if marks and len(_MARKS.findall(u)) * 100 > n + 100:
+            unit["marked"] += n
+        elif not listed and m * 4 <= w:
+            first = u.lstrip()[:1]
+            whole = _ENDED.search(u) is not None and (first.isupper() or first in _OPENERS or east > 0)
+            if whole:
+                unit["sentences"] += n
+            if w >= 8:
+                unit["long"] += n
+            if w >= 4:
+                for g in GRID:
+                    if share * g >= 1:
+                        unit[f"common_{g}"] += n
+                        if whole or w >= 16:
+                            unit[f"sentence_{g}"] += n
+    pieces = [p for p in map(str.strip, _STOPS.split(text)) if len(p) > 3]
+    counts = (words + n_of[_EAST] // 2, len(lines), n_of[_LETTER], n_of[_DIGIT], n_of[_KANA], n_of[_SYMBOL], len(text) - n_of[_BLANK], n_of[_COMMA], common, numbers)
+    return [*counts, sum(_ENDED.search(x) is not None for x in lines), sum(_BULLET.match(x) is not None for x in lines), len(_TAGS.findall(text)), len(pieces), len(set(pieces)), *unit.values()]
 
 
 def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and ratios of each row's whole text: the id, blank, the counts of FEATURES and the ratios of RATIOS.
+    """Counts and ratios of each row's whole text: the id, blank, the COUNTS and UNITS, and the RATIOS.
 
     A null, empty or blank text has blank = true, counts of 0 and ratios of 0. Lines end at LF, CR or CRLF; blank
-    lines don't count. Other columns of ``df`` are ignored.
+    lines don't count. Words are runs of letters and digits, and two characters of East Asian script count as one more.
+    Other columns of ``df`` are ignored.
     """
-    t = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    base = df.select(F.col(f"`{id_col}`").alias("_id"), t.alias("t"))
-    base = _once(base, ["_id", "t"], {"lines": F.expr(_LINES), "units": F.expr(_UNITS), "pieces": F.expr(_PIECES)})
-    base = _once(base, ["_id", "t", "lines", "pieces"], {"measured": F.expr(_MEASURED)})
-    base = _once(base, ["_id", "t", "lines", "pieces"], {"u": F.expr(_COUNTED)})
-    counts = _once(base, ["_id"], {"blank": F.size("lines") == 0} | {k: F.expr(e) for k, e in FEATURES.items()})
-    return counts.select(F.col("_id").alias(id_col), "blank", *FEATURES, *[F.expr(e).alias(k) for k, e in RATIOS.items()])
+    names = (*COUNTS, *UNITS)
+    kind = df.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [measure(t.as_py()) for t in b.column(1)]
+            table = np.array([r or [0] * len(names) for r in rows], np.int64).reshape(len(rows), len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r is None for r in rows], pa.bool_()), *[pa.array(table[:, i]) for i in range(len(names))]], names=["_id", "blank", *names])
 
-def _once(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:
-    """New columns that are worked out once for each row.
-
-    They pass through a generator of one row: a later filter or column isn't pushed below it, which would put the
-    expressions, and those that they are built from, into each place that uses them.
-    """
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in new.items()]))))
+    schema = f"_id {kind}, blank boolean, " + ", ".join(f"{c} bigint" for c in names)
+    counts = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+    return counts.select(F.col("_id").alias(id_col), "blank", *names, *[F.when(F.col("blank"), 0.0).otherwise(F.expr(e)).alias(k) for k, e in RATIOS.items()])
 
 
 @dataclass(frozen=True)
@@ -143,7 +183,7 @@ class Rule:
     tests: tuple[tuple[str, str, float], ...]  # (statistic, '<=' or '>=', threshold)
 
     def sql(self) -> str:
-        return " AND ".join(f"{c} {op} {v!r}" for c, op, v in self.tests)
+        return " AND ".join(f"{c} {op} {v!r}D" for c, op, v in self.tests) or "true"
 
     def covers(self, x: np.ndarray, names: list[str]) -> np.ndarray:
         hit = np.ones(len(x), bool)
@@ -153,15 +193,6 @@ class Rule:
         return hit
 
 
-#: Used where fewer than MIN_LABELLED documents are labelled.
-DEFAULT_RULES = (
-    Rule("list", (("bullet_share", ">=", 0.6),)),
-    Rule("junk", (("distinct_share", "<=", 0.3),)),
-    Rule("junk", (("prose_share", "<=", 0.45),)),
-)
-MIN_LABELLED = 60
-
-
 def _grow(x: np.ndarray, y: np.ndarray, names: list[str], most: int = 4) -> list[tuple[str, str, float]]:
     """Tests added one at a time by FOIL's gain until no negative is covered or nothing is gained."""
     tests, live = [], np.ones(len(x), bool)
@@ -185,7 +216,7 @@ def _grow(x: np.ndarray, y: np.ndarray, names: list[str], most: int = 4) -> list
         if best[1] is None:
             break
         tests.append(best[1])
-        live &= Rule("", (best[1],)).covers(x, names)
+        live &= Rule(OTHER, (best[1],)).covers(x, names)
     return tests
 
 
@@ -193,7 +224,7 @@ def _prune(tests: list, x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple
     """The leading tests that are worth most, (right - wrong) / covered, on documents the rule wasn't grown on."""
     best = ([], -2.0)
     for k in range(1, len(tests) + 1):
-        hit = Rule("", tuple(tests[:k])).covers(x, names)
+        hit = Rule(OTHER, tuple(tests[:k])).covers(x, names)
         n = hit.sum()
         worth = (2 * y[hit].sum() - n) / n if n else -1.0
         if worth > best[1]:
@@ -201,60 +232,97 @@ def _prune(tests: list, x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple
     return best
 
 
-def induce(x: np.ndarray, kinds: np.ndarray, names: list[str], seed: int = 7) -> list[Rule]:
-    """The ordered rule list; what no rule covers is prose. Kinds are taken from the rarest to the most frequent."""
+def _tighten(tests: list, x: np.ndarray, y: np.ndarray, names: list[str]) -> list:
+    """Each threshold in turn where the rule is worth most, a wrong document counting half as much again as a right one."""
+    tests = list(tests)
+    for t, (c, op, _) in enumerate(tests):
+        others = Rule(OTHER, tuple(q for i, q in enumerate(tests) if i != t)).covers(x, names)
+        col, lab = x[others, names.index(c)], y[others]
+        order = np.argsort(col if op == "<=" else -col, kind="stable")
+        col, lab = col[order], lab[order]
+        worth = np.where(np.append(col[1:] != col[:-1], True), np.cumsum(np.where(lab, 2.0, -3.0)), -np.inf)
+        k = int(worth.argmax())
+        tests[t] = (c, op, float(f"{(col[k] + col[k + 1]) / 2 if k + 1 < len(col) else col[k]:.6g}"))
+    return tests
+
+
+def _one_list(x: np.ndarray, y: np.ndarray, names: list[str], kind: str, seed: int) -> list[Rule]:
     rng = np.random.default_rng(seed)
     rules: list[Rule] = []
     least = max(3, len(x) // 250)  # a rule must be right on that many documents, and on three in five of those it covers
     left = np.ones(len(x), bool)
-    for kind in sorted(KINDS, key=lambda k: ((kinds == k).sum(), k)):
-        # documents of a kind whose turn comes later are neither for nor against
-        pool = left & ((kinds == kind) | (kinds == "prose"))
+    misses = 0
+    while y[left].sum() >= 2 and misses < 3:
+        at = np.flatnonzero(left)
+        part = rng.permutation(len(at)) % 3
+        g, p = at[part > 0], at[part == 0]
+        tests, worth = _prune(_grow(x[g], y[g], names), x[p], y[p], names)
+        rule = Rule(kind, tuple(_tighten(tests, x[at], y[at], names)))
+        hit = rule.covers(x, names) & left if tests else np.zeros(len(x), bool)
+        right = y[hit].sum()
+        if not tests or worth <= 0 or 5 * (right + 1) <= 3 * (hit.sum() + 2) or right < least:
+            misses += 1
+            continue
+        rules.append(rule)
+        left &= ~hit
         misses = 0
-        while (kinds[pool] == kind).sum() >= 2 and misses < 3:
-            at = np.flatnonzero(pool)
-            part = rng.permutation(len(at)) % 3
-            g, p = at[part > 0], at[part == 0]
-            tests, worth = _prune(_grow(x[g], kinds[g] == kind, names), x[p], kinds[p] == kind, names)
-            rule = Rule(kind, tuple(tests))
-            hit = rule.covers(x, names) & pool if tests else np.zeros(len(x), bool)
-            right = (kinds[hit] == kind).sum()
-            if not tests or worth <= 0 or 5 * (right + 1) <= 3 * (hit.sum() + 2) or right < least:
-                misses += 1
-                continue
-            rules.append(rule)
-            gone = rule.covers(x, names)
-            left &= ~gone
-            pool &= ~gone
-            misses = 0
     return rules
 
 
+def _best_list(x: np.ndarray, y: np.ndarray, names: list[str], kind: str, divisions: int) -> list[Rule]:
+    """The list with the least description length over several divisions of the documents; negatives are all that aren't of the kind."""
+    best: tuple[float, list[Rule]] = (np.inf, [])
+    for seed in range(divisions):
+        rules = _one_list(x, y, names, kind, seed)
+        hit = np.zeros(len(x), bool)
+        for r in rules:
+            hit |= r.covers(x, names)
+        bits = sum(len(r.tests) for r in rules) * np.log2(len(names) * max(2, len(x))) + (hit != y).sum() * np.log2(max(2, len(x)))
+        if bits < best[0]:
+            best = (bits, rules)
+    return best[1]
+
+
+def induce(x: np.ndarray, kinds: np.ndarray, names: list[str], divisions: int = 6) -> list[Rule]:
+    """The ordered rules: those of kind OTHER tell what isn't prose; what they cover is of the kind of the first further rule that covers it.
+
+    Further rules are learned from the labelled documents that aren't prose, kinds from the rarest to the most frequent, each
+    against all other kinds left; the last rule, of the most frequent kind, covers the rest.
+    """
+    rules = _best_list(x, kinds != "prose", names, OTHER, divisions)
+    x, kinds = x[kinds != "prose"], kinds[kinds != "prose"]
+    order = sorted(KINDS, key=lambda k: ((kinds == k).sum(), k))
+    for kind in order[:-1]:
+        own = _best_list(x, kinds == kind, names, kind, divisions) if len(x) else []
+        rules += own
+        left = np.ones(len(x), bool)
+        for r in own:
+            left &= ~r.covers(x, names)
+        x, kinds = x[left], kinds[left]
+    return [*rules, Rule(order[-1], ())]
+
+
 def learn(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, kind_col: str = "kind") -> list[Rule]:
     """Rules from labelled documents: of several judgements the most frequent stands (of equal ones the first by name).
 
     Labels without a document, and of blank texts, are ignored. More than ``max_labelled`` documents are sampled by
-    the hash of their id. With fewer than MIN_LABELLED the DEFAULT_RULES are returned.
+    the hash of their id. Labels too few for any rule (three documents of a kind at least) leave every document prose.
     """
-    votes = labels.where(F.col(kind_col).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_l"), F.col(kind_col).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    votes = labels.where(F.col(kind_col).isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_l"), F.col(kind_col).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     first = Window.partitionBy("_l").orderBy(F.desc("_n"), "_k")
     one = votes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("_l", "_k").orderBy(F.xxhash64("_l"), "_l").limit(max_labelled)
-    rows = statistics(documents.join(F.broadcast(one), F.col(f"`{id_col}`") == F.col("_l"), "left_semi"), id_col, text_col)
-    got = rows.where(~F.col("blank")).join(F.broadcast(one), F.col(f"`{id_col}`") == F.col("_l")).select("_l", "_k", *RATIOS).collect()
-    if len(got) < MIN_LABELLED:
-        return list(DEFAULT_RULES)
-    got.sort(key=lambda r: r["_l"])
-    x = np.array([[r[c] for c in RATIOS] for r in got], float)
-    return induce(x, np.array([r["_k"] for r in got]), list(RATIOS)) or list(DEFAULT_RULES)
+    rows = statistics(documents.join(F.broadcast(one), F.col(f"`{id_col}`") == F.col("_l")).select(F.struct("_l", "_k").alias("_l"), F.col(f"`{text_col}`").alias("_t")), "_l", "_t")
+    got = sorted(rows.where(~F.col("blank")).select("_l._l", "_l._k", *RATIOS).collect())
+    x = np.array([r[2:] for r in got], float).reshape(len(got), len(RATIOS))
+    return induce(x, np.array([r[1] for r in got], dtype=object), list(RATIOS))
 
 
 def case_sql(rules: list[Rule]) -> str:
-    """The rule list as one SQL CASE expression over the statistics."""
-    return "CASE WHEN blank THEN 'blank' " + " ".join(f"WHEN {r.sql()} THEN '{r.kind}'" for r in rules) + " ELSE 'prose' END"
+    """The rules as one SQL CASE expression over the statistics."""
+    prose = " OR ".join(f"({r.sql()})" for r in rules if r.kind == OTHER) or "false"
+    return f"CASE WHEN blank THEN 'blank' WHEN NOT ({prose}) THEN 'prose' " + " ".join(f"WHEN {r.sql()} THEN '{r.kind}'" for r in rules if r.kind != OTHER) + " END"
 
 
 def classify(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """``stats`` with a column kind: prose, list, table, junk, or blank."""
     return stats.withColumn("kind", F.expr(case_sql(rules)))
-
-

@@ -160,18 +160,28 @@ def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _kinds(spark, d).select("doc_id", "kind", *[F.round(c, 6).alias(c) for c in quality.RATIOS])
 
 
-_STATS = r"""
-WITH e AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, '\r\n|\n|\r'), lambda x: regexp_matches(x, '[^\s\pZ]'))) AS BIGINT) AS n_lines,
- CAST(len(regexp_extract_all(t, '\pL')) AS BIGINT) AS letters, CAST(len(regexp_extract_all(t, '\pN')) AS BIGINT) AS digits,
- round(CAST(len(regexp_extract_all(t, '[,;|\t=]')) AS DOUBLE), 6) AS commas, NOT regexp_matches(t, '[^\s\pZ]') AS blank FROM e
+_BLANKS = r"\s\pZ\x0b\x1c-\x1f\x{85}"
+_STATS = rf"""
+WITH e AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '\r\n|\n|\r'), lambda x: regexp_matches(x, '[^{_BLANKS}]')) AS lines,
+ regexp_extract_all(lower(t), '[\pL\pN]+') AS words, len(regexp_extract_all(t, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{f900}}-\x{{faff}}]')) AS east,
+ len(regexp_extract_all(t, '\pL')) AS letters, len(regexp_extract_all(t, '\pN')) AS digits, len(regexp_extract_all(t, '[^{_BLANKS}]')) AS filled,
+ len(regexp_extract_all(t, '[^\pL\pN{_BLANKS}.,!?;:''"’“”()…。、！？«»¿¡–-]')) AS symbols FROM e),
+n AS (SELECT *, len(words) + east // 2 AS n_words, len(list_filter(words, lambda x: x IN ({", ".join(f"'{w}'" for w in sorted(set(quality.COMMON_WORDS)))}))) AS common,
+ len(list_filter(lines, lambda x: regexp_matches(x, '[.!?。！？…]["”’»)\]]*[{_BLANKS}]*$'))) AS ended FROM c)
+SELECT doc_id, len(lines) = 0 AS blank, CASE WHEN len(lines) = 0 THEN 0 ELSE CAST(n_words AS BIGINT) END AS n_words, CAST(len(lines) AS BIGINT) AS n_lines,
+ CAST(CASE WHEN len(lines) = 0 THEN 0 ELSE round((letters + digits) / greatest(n_words, 1), 9) END AS DOUBLE) AS mean_word_length,
+ CAST(CASE WHEN len(lines) = 0 THEN 0 ELSE round(symbols / greatest(filled, 1), 9) END AS DOUBLE) AS symbol_ratio,
+ CAST(CASE WHEN len(lines) = 0 THEN 0 ELSE round(ended / greatest(len(lines), 1), 9) END AS DOUBLE) AS ended_share,
+ CAST(CASE WHEN len(lines) = 0 THEN 0 ELSE round(common / greatest(n_words, 1), 9) END AS DOUBLE) AS common_share FROM n
 """
 
 
 @catalog.query(_STATS)
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that the problem names, of every document."""
     s = quality.statistics(table(spark, d, "documents"))
-    return s.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_lines", "letters", "digits")], "commas", "blank")
+    return s.select("doc_id", "blank", "n_words", "n_lines", *[F.round(c, 9).alias(c) for c in ("mean_word_length", "symbol_ratio", "ended_share", "common_share")])
 
 
 # ---------------------------------------------------------------- 5: wrong charsets
