@@ -37,14 +37,14 @@ COMMON_WORDS = (
 ).split()
 _COMMON = frozenset(COMMON_WORDS)
 _WORD = re.compile(r"[^\W_]+")
-_LINE = re.compile(r"\r\n|\n|\r")
 _BULLET = re.compile(r"\s*(?:[-*•‣◦▪·+–]|\d{1,4}[.):]|\d+(?:\.\d+)+|[a-z]\))\s")
-_ENDED = re.compile(r"[.!?。！？…][\"”’»)\]]*\s*$")
+_CLOSERS = "\"”’»)]"
+_ENDS = frozenset(".!?。！？…")
 _TAGS = re.compile(r"<[/!a-zA-Z]|[{}]|::|\(\)|0x|https?://")
 _STOPS = re.compile(r"[.!?。！？\n]+")
 _MARKS = re.compile(r"[|=<>{}\t]|   +")
 #: where a sentence ends: at white space behind a stop that follows a letter (not behind a number of a list), quotes and brackets between them
-_CUT = re.compile(r"(?<=[^\W\d_][.!?…])\s+|(?<=[)”’\"»][.!?…])\s+|(?<=[^\W\d_][.!?…][\"”’»)\]])\s+|(?<=[。！？])")
+_CUT = re.compile(r"[.!?…。！？](?:(?<=[。！？])|(?<=[^\W\d_][.!?…])[\"”’»)\]]?\s+|(?<=[)”’\"»][.!?…])\s+)")
 _PLAIN = frozenset(".,!?;:'\"’“”()…。、！？«»¿¡–-")  # what isn't a symbol, beside letters, numbers and white space
 _OPENERS = frozenset("¿¡\"“«(")
 _WRAP = 35  # a line of that many characters goes on in the next one, if that isn't indented
@@ -71,7 +71,7 @@ RATIOS = {
 KINDS = ("table", "list", "junk")
 OTHER = "other"  # the kind of the rules that tell what isn't prose
 
-_LETTER, _DIGIT, _KANA, _SYMBOL, _BLANK, _COMMA, _EAST = range(7)
+_LETTER, _DIGIT, _KANA, _SYMBOL, _BLANK, _COMMA, _EAST, _REST = range(8)
 _classes: dict[str, tuple[int, ...]] = {}
 
 
@@ -87,9 +87,10 @@ def _class(c: str) -> tuple[int, ...]:
         _COMMA: c in ",;|\t=",
         _EAST: "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff",
     }
+    own = tuple(i for i, x in is_.items() if x) or (_REST,)
     if len(_classes) < 100_000:
-        _classes[c] = tuple(i for i, x in is_.items() if x)
-    return tuple(i for i, x in is_.items() if x)
+        _classes[c] = own
+    return own
 
 
 def _sentences(lines: list[str]) -> Iterator[str]:
@@ -101,30 +102,39 @@ def _sentences(lines: list[str]) -> Iterator[str]:
         else:
             joined.append(x)
     for x in joined:
-        for p in _CUT.split(x):
-            if p and not p.isspace():
-                yield p
+        at = 0
+        for m in _CUT.finditer(x):
+            yield x[at : m.end()].rstrip()
+            at = m.end()
+        if rest := x[at:].rstrip():
+            yield rest
+
+
+def _ended(text: str) -> bool:
+    """Whether a text ends with a stop, closing quotes and brackets aside."""
+    return text.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS
 
 
 def measure(text: str | None) -> list[int] | None:
     """The COUNTS and UNITS of a text; None if it is null, empty or blank."""
-    lines = [x for x in _LINE.split(text) if x and not x.isspace()] if text else []
+    lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x and not x.isspace()] if text else []
     if not lines:
         return None
-    n_of = [0] * 7
+    n_of = [0] * 8
     for c, n in Counter(text).items():
         for i in _classes.get(c) or _class(c):
             n_of[i] += n
     marks = _MARKS.search(text) is not None
-    words = common = numbers = 0
-    unit = dict.fromkeys(UNITS, 0)
+    words = common = numbers = chars = 0
+    by_share, by_sentence = [0] * len(GRID), [0] * len(GRID)
+    long = marked = listed = sentences = 0
     for u in _sentences(lines):
         n = len(u)
         ws = _WORD.findall(u)
         k = sum(map(_COMMON.__contains__, map(str.lower, ws)))
-        m = sum(map(str.isdecimal, ws))
+        m = sum(map(str.isdecimal, ws)) if n_of[_DIGIT] else 0
         w = len(ws)
-        words, common, numbers = words + w, common + k, numbers + m
+        words, common, numbers, chars = words + w, common + k, numbers + m, chars + n
         share = k / w if w else 0.0
         east = 0
         if n_of[_EAST] and not u.isascii():
@@ -132,28 +142,27 @@ def measure(text: str | None) -> list[int] | None:
             east = sum(_EAST in x for x in of) // 2  # in scripts without spaces two characters are a word
             share = max(share, sum(_KANA in x for x in of) / n / 2)
         w += east
-        unit["unit_chars"] += n
-        listed = _BULLET.match(u) is not None
-        if listed:
-            unit["listed"] += n
+        bullet = _BULLET.match(u) is not None
+        if bullet:
+            listed += n
         if marks and len(_MARKS.findall(u)) * 100 > n + 100:
-            unit["marked"] += n
-        elif not listed and m * 4 <= w:
+            marked += n
+        elif not bullet and m * 4 <= w:
             first = u.lstrip()[:1]
-            whole = _ENDED.search(u) is not None and (first.isupper() or first in _OPENERS or east > 0)
+            whole = (east > 0 or first.isupper() or first in _OPENERS) and _ended(u)
             if whole:
-                unit["sentences"] += n
+                sentences += n
             if w >= 8:
-                unit["long"] += n
+                long += n
             if w >= 4:
-                for g in GRID:
+                for i, g in enumerate(GRID):
                     if share * g >= 1:
-                        unit[f"common_{g}"] += n
+                        by_share[i] += n
                         if whole or w >= 16:
-                            unit[f"sentence_{g}"] += n
+                            by_sentence[i] += n
     pieces = [p for p in map(str.strip, _STOPS.split(text)) if len(p) > 3]
     counts = (words + n_of[_EAST] // 2, len(lines), n_of[_LETTER], n_of[_DIGIT], n_of[_KANA], n_of[_SYMBOL], len(text) - n_of[_BLANK], n_of[_COMMA], common, numbers)
-    return [*counts, sum(_ENDED.search(x) is not None for x in lines), sum(_BULLET.match(x) is not None for x in lines), len(_TAGS.findall(text)), len(pieces), len(set(pieces)), *unit.values()]
+    return [*counts, sum(map(_ended, lines)), sum(_BULLET.match(x) is not None for x in lines), len(_TAGS.findall(text)), len(pieces), len(set(pieces)), chars, *by_share, *by_sentence, long, marked, listed, sentences]
 
 
 def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
