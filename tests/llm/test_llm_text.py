@@ -348,6 +348,9 @@ def test_declared_charset():
 # ---------------------------------------------------------------- main body
 
 
+SENTENCES = "Nobody knew that the harbour had a market until the ferry came back to the island again. It was a long winter."
+
+
 def page(k, rnd):
     word = lambda: "".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(3))
     title = lambda: f"Why the {word()} {word()} matters so much"
@@ -415,6 +418,33 @@ def test_pages_without_an_address_lose_their_template(spark, known):
     assert {(r["page_id"], r["line_no"]) for r in boilerplate.main_body(df).collect()} == want
 
 
+def test_a_host_parted_over_several_tasks(site):
+    """The pages of a host and its template meet whatever the number of its parts."""
+    df, want = site
+    assert {(r["page_id"], r["line_no"]) for r in boilerplate.main_body(df, spread=3).collect()} == want
+
+
+def test_containers_are_hashed_bottom_up():
+    """A container's hash holds its tag and all below it; a tag left open doesn't spoil the rest."""
+    box = "<aside>\n<h2>More</h2>\n<div>\n<p>One 1</p>\n<p>Two</p>\n</div>\n</aside>"
+    a, b = boilerplate.parse(f"<body>\n{box}\n<p>x</p>\n</body>"), boilerplate.parse(f"<body><section>\n<p>y</p>\n{box.replace('1', '22')}\n</body>")
+    inner = {h for f, e, h in a.containers if e - f == 3} & {h for f, e, h in b.containers if e - f == 3}
+    assert len(inner) == 1 and not {h for *_, h in boilerplate.parse(box.replace("Two", "Three")).containers} & inner
+    assert not {h for *_, h in boilerplate.parse(box.replace("aside", "nav")).containers} & inner
+    (h,) = inner
+    assert boilerplate.main_lines("<article>\n<header>\n<h1>A headline here</h1>\n</header>\n<p>" + SENTENCES + f"</p>\n</article>\n{box}", frozenset([h])) == [3, 5]
+
+
+def test_items_of_lists_in_the_text_stay():
+    text = f"<p>{SENTENCES}</p>\n<li>Red paint</li>\n<li>Blue and green paint</li>\n<p>{SENTENCES}</p>\n<span>Share</span>\n<p>{SENTENCES}</p>\n<li>Another page</li>\n<li>One more page</li>"
+    assert boilerplate.main_lines(text, frozenset()) == [1, 2, 3, 4, 6]
+
+
+def test_markup_after_a_long_preamble_and_numbers_in_long_texts():
+    assert boilerplate.main_lines("\n" * 4_000 + "<script>\nvar x = 1.\n</script>\n<p>" + SENTENCES + "</p>", frozenset()) == [4_004]
+    assert boilerplate._hash(SENTENCES + " 2030") == boilerplate._hash(SENTENCES + " 31")
+
+
 def test_line_ends_and_plain_text():
     els = boilerplate.elements("<html><body>\r\n<p>one</p>\r\n<pre>\r\nlet x = f(1);\r\n</pre>\r\n<script>var a;</script>\r\n</body></html>")
     assert [(e.line, e.kind, e.text) for e in els] == [(2, "p", "one"), (4, "pre", "let x = f(1);")]

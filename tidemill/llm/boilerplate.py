@@ -1,16 +1,19 @@
 """The main body of web pages, by removal of each site's template.
 
-A page is taken apart into elements: its lines, split further at block tags. Each
-element's subtree is hashed (its text with numbers levelled), and Spark counts on how
-many different pages of its host a hash occurs. Subtrees that recur on many pages of
-the host are template: menus, notices, footers, share lines. Of a block whose head
-recurs (a side box, the comments) the whole subtree goes, however its slots are filled.
-What is left of the blocks with prose is the main body, less links to other pages.
+A page is taken apart into elements, its lines split further at block tags, and into the
+containers around them. Each subtree is hashed bottom-up: an element's text with numbers
+levelled, a container's tag with the hashes of what it holds. Spark counts on how many
+different pages of its host a hash occurs. Subtrees that recur on many pages of the host
+are template: menus, notices, footers, share lines, and containers that recur as a whole.
+Of a block whose head recurs (a side box, the comments) the whole subtree goes, however
+its slots are filled. What is left of the blocks with prose is the main body, less links
+to other pages.
 
 At scale: pages are reduced to (host, page, hash) and hashes are counted with partial
 aggregation. Of a host at most 10 x elements per page / ``share`` hashes can recur, which
-bounds its template; a host with a third of all pages has one template row, that is
-sent to its pages over several salted keys, so no task gets all of them.
+bounds its template. Pages and templates are brought together by host in one sorted
+stream, a template once before its pages; a host of more than ``spread`` pages is parted
+over as many tasks as it has multiples of that.
 """
 
 from __future__ import annotations
@@ -47,6 +50,7 @@ _BETWEEN = re.compile(r"\s\s|\s[>»›/→|·•]\s")
 _GAPS = re.compile(r"\s{2,}")
 _EAST = re.compile(r"[぀-鿿가-힯]")
 _NUMBER = re.compile(r"\d+")
+_MARKED = re.compile(r"<(?:html|body|div|p|section|article)\b", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -69,27 +73,73 @@ def _ended(text: str) -> bool:
     return (text.rstrip(_CLOSERS)[-1:] or " ") in _STOPS
 
 
+def _digest(text: str) -> int:
+    return (xxhash.xxh64_intdigest(text) - (1 << 63)) & ~1
+
+
 @lru_cache(1 << 16)  # menus and footers come again and again
 def _hash(text: str) -> int:
     """A hash of the text with numbers, case and spacing levelled; its last bit says whether the text is a label.
 
-    A label, such as a button's, is a few words that end without a stop. Long texts are hashed as they are.
+    A label, such as a button's, is a few words that end without a stop. Of long texts only numbers are levelled.
     """
     if len(text) > 120:
-        return (xxhash.xxh64_intdigest(text) - (1 << 63)) & ~1
+        return _digest(_NUMBER.sub("0", text))
     level = " ".join(_NUMBER.sub("0", text).split()).casefold()
     level = level.removesuffix("(0)").rstrip() or level
     label = len(level) <= 34 and level.count(" ") <= 3 and not _ended(level) and (len(level) <= 12 or level.isascii() or not _EAST.search(level))
     return (xxhash.xxh64_intdigest(level) - (1 << 63)) & ~1 | label
 
 
-def elements(text: str) -> list[Element]:
-    """The page's elements with text, in order, each with its line, its tag, and the block that holds it.
+class Parsed:
+    """The elements of a page, and its containers: their first element, the one past their last, and their hash."""
+
+    __slots__ = ("elements", "containers", "_open")
+
+    def __init__(self) -> None:
+        self.elements: list[Element] = []
+        self.containers: list[tuple[int, int, int]] = []
+        self._open: list[tuple[str, int, list[str]]] = []
+
+    def add(self, *what: object) -> None:
+        e = Element(*what)
+        self.elements.append(e)
+        if self._open:
+            self._open[-1][2].append(f"{e.kind}{e.hash}")
+
+    def own_header(self, name: str) -> bool:
+        """Whether a container is the header of an article, which is part of it."""
+        return name == "header" and any(o[0] in ("article", "main") for o in self._open)
+
+    def opens(self, name: str) -> str:
+        """Opens a container; gives what its elements are at home in."""
+        home = "text" if self.own_header(name) else name
+        self._open.append((name, len(self.elements), []))
+        return home
+
+    def closes(self, name: str) -> None:
+        """Closes the nearest container of that name, with those open in it; if there is none, the last one opened."""
+        if not self._open:
+            return
+        n = next((i for i in range(len(self._open) - 1, -1, -1) if self._open[i][0] == name), len(self._open) - 1)
+        while len(self._open) > n:
+            own, first, held = self._open.pop()
+            if not held:
+                continue
+            h = _digest(f"<{own}>" + ",".join(held))
+            if len(held) > 1:
+                self.containers.append((first, len(self.elements), h))
+            if self._open:
+                self._open[-1][2].append(f"{own}{h}")
+
+
+def parse(text: str) -> Parsed:
+    """The page's elements with text, in order, each with its line, its tag, and the block that holds it, and its containers.
 
     Blocks end where a container opens or closes; in text without markup, at blank lines. The head, scripts and styles give none.
     """
-    out: list[Element] = []
-    marked = bool(re.search(r"<(?:html|body|div|p|section|article)\b", text[:3000], re.I))
+    out = Parsed()
+    marked = _MARKED.search(text) is not None
     block, home, hidden, pre = 0, "text", "", False
     for number, raw in enumerate(text.split("\n"), 1):
         for part in raw.split("\r") if "\r" in raw[:-1] else (raw,):
@@ -100,12 +150,12 @@ def elements(text: str) -> list[Element]:
                 else:
                     plain = html.unescape(plain) if "&" in plain else plain
                     bullet = _BULLET.match(plain)
-                    out.append(Element(number, "li" if bullet else "text", plain[bullet.end() :] if bullet else plain, block, home))
+                    out.add(number, "li" if bullet else "text", plain[bullet.end() :] if bullet else plain, block, home)
                 continue
             if "<" not in part:
                 if part.strip() and not hidden:
                     plain = html.unescape(part) if "&" in part else part
-                    out.append(Element(number, "pre" if pre else "text", plain.strip(), block, home))
+                    out.add(number, "pre" if pre else "text", plain.strip(), block, home)
                 continue
             if (m := _WHOLE.match(part)) is not None:  # the usual line: one element, or one container's tag
                 name, plain = m.groups()
@@ -113,11 +163,15 @@ def elements(text: str) -> list[Element]:
                 if name in SIMPLE:
                     if not hidden and (plain := plain.strip()):
                         plain = html.unescape(plain) if "&" in plain else plain
-                        out.append(Element(number, "pre" if pre else "li" if name == "tr" else name, plain, block, home))
+                        out.add(number, "pre" if pre else "li" if name == "tr" else name, plain, block, home)
                     continue
             elif (m := _BOUND.match(part)) is not None and (name := m[2].lower()) in CONTAINERS:
-                block += 1
-                home = "text" if m[1] else name
+                block += not out.own_header(name)
+                if m[1]:
+                    out.closes(name)
+                    home = "text"
+                else:
+                    home = out.opens(name)
                 continue
             kind, cells, buffer, at = "", 0, [], 0
 
@@ -129,7 +183,7 @@ def elements(text: str) -> list[Element]:
                     plain = html.unescape(plain) if "&" in plain else plain
                     plain = " ".join(plain.split()) if cells else plain
                     row = "pre" if pre else "li" if kind == "tr" and cells == 1 else kind or "text"
-                    out.append(Element(number, row, plain, block, home))
+                    out.add(number, row, plain, block, home)
                 kind, cells = "", 0
 
             for m in _TAG.finditer(part):
@@ -151,8 +205,12 @@ def elements(text: str) -> list[Element]:
                         flush()
                     else:
                         flush()
-                        block += 1
-                        home = "text" if closing else name
+                        block += not out.own_header(name)
+                        if closing:
+                            out.closes(name)
+                            home = "text"
+                        else:
+                            home = out.opens(name)
                 elif name == "pre":
                     flush()
                     pre = not closing
@@ -226,7 +284,7 @@ def _segments(els: list[Element], template: set[int] | frozenset[int]) -> list[l
         if i and els[i - 1].block != e.block:
             out.append(run)
             run, boxed = [], False
-        if e.home in ("nav", "footer", "aside", "header"):
+        if e.home in ("nav", "footer", "aside", "header", "template"):
             i += 1
             continue
         if e.hash in template and e.kind != "pre" and not (e.kind == "text" and _CODE.search(e.text)):
@@ -279,16 +337,36 @@ def _is_body(b: list[Element]) -> bool:
 def main_lines(text: str, template: frozenset[int] | set[int]) -> list[int]:
     """The numbers of the lines that hold text of the main body, given the hashes that recur on the host."""
     keep: list[int] = []
-    for b in _segments(elements(text), template):
+    page = parse(text)
+    for first, end, h in page.containers:
+        if h in template:
+            for e in page.elements[first:end]:
+                e.home = "template"
+    for b in _segments(page.elements, template):
         b = [e for e in b if not (_tags(e) or _comment(e) or _bar(e) or _link_line(e, template))]
         if not b or not _is_body(b):
             continue
+        listed = _listed(b)
         for i, e in enumerate(b):
-            if _stays(e, i == 0, b[i - 1] if i else None, b[i + 1] if i + 1 < len(b) else None):
+            if i in listed or _stays(e, i == 0, b[i - 1] if i else None, b[i + 1] if i + 1 < len(b) else None):
                 keep.append(e.line)
     return sorted(set(keep))
 
 
+def _listed(b: list[Element]) -> set[int]:
+    """The items of lists that belong to the text: a list of two or more follows a sentence, and a sentence is in it or after it."""
+    out: set[int] = set()
+    i = 0
+    while i < len(b):
+        j = i
+        while j < len(b) and (b[j].kind == "li" or b[j].kind in LINKS and b[j].kind != "a"):
+            j += 1
+        if j > i + 1 and i and _sentence(b[i - 1]) and (any(map(_sentence, b[i:j])) or j < len(b) and _sentence(b[j])):
+            out.update(range(i, j))
+        i = j + 1
+    return out
+
+
 def _bar(e: Element) -> bool:
     """Crumbs, and bars of short labels side by side."""
     if e.kind in ("pre", "tr") or not _BETWEEN.search(e.text) or _ended(e.text) or _CODE.search(e.text) and "   " in e.text:
@@ -354,7 +432,9 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in x.column(2):
             # 0 stands for the page itself
             own = {0}
-            for e in elements(declared(b.as_py())):
+            page = parse(declared(b.as_py()))
+            own.update(h for *_, h in page.containers)
+            for e in page.elements:
                 own.add(e.hash)
                 if (head := _lead(e)) is not None:
                     own.add(_hash(head))
@@ -381,7 +461,13 @@ def templates(pages: DataFrame, *, url_col: str = "url", body_col: str = "conten
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
-def main_body(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "contents", share: float = 0.2, least: int = 3, salts: int = 16, with_text: bool = False) -> DataFrame:
+def _parts(pages: DataFrame, url_col: str, body_col: str, spread: int) -> DataFrame:
+    """Hosts of more than ``spread`` pages, and over how many keys they are parted: host, parts. At most rows / ``spread`` rows."""
+    rows = pages.where(F.col(body_col).isNotNull() & ~_nowhere(url_col)).groupBy(F.xxhash64(host_of(url_col)).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col("n") > spread).select("host", F.ceil(F.col("n") / spread).cast("int").alias("parts"))
+
+
+def main_body(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "contents", share: float = 0.2, least: int = 3, spread: int = 2_000, with_text: bool = False) -> DataFrame:
     """The lines of each page's main body: the id column, line_no (from 1, split at LF), and the line's text if asked for.
 
     Null and empty contents, and pages without a main body, give no rows. Of a page without an address goes what is
@@ -392,28 +478,36 @@ def main_body(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     own = pages.where(F.col(body_col).isNotNull() & nowhere).select(F.lit("").alias("host"), F.xxhash64(body_col).alias("page"), F.col(body_col).alias("b")).mapInArrow(_hashes, "host string, page bigint, hash bigint").select("page", "hash").distinct()
     anywhere = hosts.select(F.explode("hashes").alias("hash")).distinct()
     theirs = own.join(anywhere, "hash").groupBy("page").agg(F.collect_list("hash").alias("hashes"))
-    salted = hosts.select(F.col("host").alias("_h"), "hashes", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s")).unionByName(theirs.select(F.col("page").alias("_h"), "hashes", F.lit(-1).alias("_s")))
-    src = pages.where(F.col(body_col).isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.when(nowhere, F.xxhash64(body_col)).otherwise(F.xxhash64(host_of(url_col))).alias("_host"), F.when(nowhere, -1).otherwise(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(salts)).cast("int")).alias("_salt"), F.col(body_col).alias("_b"))
-    both = src.join(salted, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left").select("_id", "_host", "_b", "hashes")
-    kind = pages.schema[id_col].dataType.simpleString()
+    parts = materialize(_parts(pages, url_col, body_col, spread), "parts")
+    kind = pages.schema[id_col].dataType
+    none = [F.lit(None).cast(kind).alias("_id"), F.lit(None).cast("binary").alias("_b")]
+    salted = hosts.join(parts, "host", "left").select(F.col("host").alias("_host"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("_salt"), F.col("hashes").alias("_t"), *none)
+    single = theirs.select(F.col("page").alias("_host"), F.lit(-1).alias("_salt"), F.col("hashes").alias("_t"), *none)
+    src = pages.where(F.col(body_col).isNotNull()).select(F.when(nowhere, F.xxhash64(body_col)).otherwise(F.xxhash64(host_of(url_col))).alias("_host"), nowhere.alias("_n"), F.col(f"`{id_col}`").alias("_id"), F.col(body_col).cast("binary").alias("_b"))
+    src = src.join(parts.withColumnRenamed("host", "_host"), "_host", "left")
+    salt = F.when(F.col("_n"), -1).otherwise(F.pmod(F.xxhash64("_id", "_b"), F.coalesce(F.col("parts"), F.lit(1))).cast("int"))
+    src = src.select("_host", salt.alias("_salt"), F.lit(None).cast("array<bigint>").alias("_t"), "_id", "_b")
+    # a template comes before its pages, so that a task holds one at a time
+    stream = src.unionByName(salted).unionByName(single).repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", F.col("_b").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, frozenset[int]] = {}
+        key, template = None, frozenset()
         for x in batches:
             at, numbers, texts = [], [], []
-            for i, (h, b) in enumerate(zip(x.column(1).to_pylist(), x.column(2))):
-                if h not in sets:
-                    if len(sets) > 2_000:
-                        sets.clear()
-                    sets[h] = frozenset(x.column(3)[i].as_py() or ())
+            for i, (h, n, b) in enumerate(zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(4))):
+                if (h, n) != key:
+                    key, template = (h, n), frozenset()
+                if not b.is_valid:
+                    template = frozenset(x.column(2)[i].as_py())
+                    continue
                 text = declared(b.as_py())
-                lines = main_lines(text, sets[h])
+                lines = main_lines(text, template)
                 at.extend([i] * len(lines))
                 numbers.extend(lines)
                 if with_text and lines:
                     rows = text.split("\n")
                     texts.extend(_TAG.sub(" ", rows[n - 1]).strip() for n in lines)
-            cols = [x.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32())] + ([pa.array(texts, pa.string())] if with_text else [])
+            cols = [x.column(3).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32())] + ([pa.array(texts, pa.string())] if with_text else [])
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "line_no"] + (["text"] if with_text else []))
 
-    return both.mapInArrow(run, f"`{id_col}` {kind}, line_no int" + (", text string" if with_text else ""))
+    return stream.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, line_no int" + (", text string" if with_text else ""))
