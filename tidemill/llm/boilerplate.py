@@ -234,6 +234,11 @@ def parse(text: str) -> Parsed:
     return out
 
 
+def elements(text: str) -> list[Element]:
+    """The page's elements alone."""
+    return parse(text).elements
+
+
 def _sentence(e: Element) -> bool:
     """Whether an element is prose: a sentence, or too long for a title."""
     if e._prose is None:
@@ -455,6 +460,8 @@ def templates(pages: DataFrame, *, url_col: str = "url", body_col: str = "conten
 
     seen = src.mapInArrow(_hashes, "host string, page bigint, hash bigint")
     counted = seen.select(F.xxhash64("host").alias("host"), "page", "hash").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    # written once: a filter on the hash would be pushed below the parsing, which would run for either use
+    counted = materialize(counted.where((F.col("n") >= least) | (F.col("hash") == 0)), "hash-counts")
     # the host's row of counts: the number of its pages is that of hash 0
     total = counted.where("hash = 0").select("host", F.col("n").alias("total"))
     often = counted.where(F.col("n") >= least).join(total, "host").where((F.col("n") >= F.col("total") * F.when(F.col("hash").bitwiseAND(F.lit(1)) == 1, share / 10).otherwise(share)) & (F.col("hash") != 0))
