@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import archive as A
+from tidemill.sources import objectstore
 
 SCHEMA = "object_id bigint, bucket string, object_key string, size_bytes bigint, body binary, block string, entries int"
 
@@ -67,6 +68,37 @@ def test_lookup_and_index(spark, objects, tmp_path):
     assert "block:" not in index._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_lookup_reads_the_index_first(spark, objects, tmp_path, monkeypatch):
+    """No block is shuffled for keys in bounded number; beyond it the same rows come out of a join."""
+    df, bodies = objects
+    arc = A.pack_objects(df, str(tmp_path / "arc"), block_bytes=64)
+    keys = spark.createDataFrame([("bkt", "k2"), ("bkt", "k1"), (None, None)], "bucket string, object_key string")
+    found = A.archive_bodies(arc, keys)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "PushedFilters: [" in plan and "block_id" in plan.split("PushedFilters: [")[1]
+    want = sorted((r["object_id"], bytes(r["body"] or b"")) for r in found.collect())
+    assert len(want) >= 2
+    monkeypatch.setattr(A, "FEW_BLOCKS", 0)
+    monkeypatch.setattr(A, "SOME_ENTRIES", 0)
+    assert sorted((r["object_id"], bytes(r["body"] or b"")) for r in A.archive_bodies(arc, keys).collect()) == want
+    assert A.archive_bodies(arc, keys.where("bucket = 'none'")).count() == 0
+
+
+def test_objects_of_a_directory_packed(spark, tmp_path):
+    """Listed with their bytes, packed, and looked up again by key."""
+    root = tmp_path / "in" / "logs"
+    (root / "2031").mkdir(parents=True)
+    bodies = {"a.gz": gzip.compress(b"one\n"), "2031/b.log": b"two\n", "2031/c.log": b""}
+    for k, b in bodies.items():
+        (root / k).write_bytes(b)
+    listed = objectstore.list_objects(spark, str(root))
+    assert {(r["object_key"], r["size_bytes"], r["etag"], bytes(r["body"])) for r in listed.collect()} == {(k, len(b), hashlib.md5(b).hexdigest(), b) for k, b in bodies.items() if b}
+    assert {r["object_key"] for r in objectstore.list_objects(spark, str(root), pattern="*.log").select("object_key").collect()} == {"2031/b.log"}
+    arc = A.pack_objects(listed, str(tmp_path / "arc"))
+    (r,) = A.archive_bodies(arc, listed.where("object_key = '2031/b.log'").select("bucket", "object_key")).collect()
+    assert bytes(r["body"]) == b"two\n" and r["intact"]
+
+
 def test_blocks_are_bounded(spark, objects, tmp_path):
     df, bodies = objects
     arc = A.pack_objects(df, str(tmp_path / "arc"), block_bytes=1000)

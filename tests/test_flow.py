@@ -7,7 +7,8 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemill.operators import joins, sketches
-from tidemill.operators.sinks import All, Any_, Collect, Combine, Count, Fold, GroupBy, Histogram, Max, MaxBy, Mean, Min, MinBy, MostDistinct, MostFrequent, Sample, SortN, StdDev, Sum
+from tidemill.operators.grouped import grouped_fold, load
+from tidemill.operators.sinks import All, Any_, Collect, Combine, Count, Fold, ForEach, GroupBy, Histogram, Max, MaxBy, Mean, Min, MinBy, MostDistinct, MostFrequent, Sample, SortN, StdDev, Sum
 from tidemill.plans.flow import Flow
 from tidemill.plans.fork import fork, fork_table
 from tidemill.plans.pipe import Filtered, Identity, Piped
@@ -206,3 +207,33 @@ def test_opaque_sinks(spark):
     assert acc.value == 15
     assert Collect("list").run(df.coalesce(1)) == [1, 2, 3, 4, 5]
     assert MostFrequent("id", 2, exact=True).run(df) == [(1, 1), (2, 1)]
+
+
+def test_every_sink_per_group(xs):
+    """Folds, opaque reductions, rows kept in lists, several at once, three levels; groups emptied by a filter stay."""
+    total = Fold(lambda: 0, lambda s, r: s + (r["n"] or 0), lambda a, b: a + b)
+    plain = xs.group_by(["k"], Sum("n"))
+    assert xs.group_by(["k"], total) == plain
+    assert xs.group_by(["k"], Combine("n", lambda a, b: max(a, b))) == xs.group_by(["k"], Max("n"))
+    assert xs.group_by(["k"], ForEach(lambda r: None)) == dict.fromkeys(plain)
+    big = F.col("n") > 2
+    assert xs.group_by(["k"], Filtered(big, Histogram("n"))) == {"a": [], "b": [(3, 2)], None: [(7, 1)]}
+    assert xs.group_by(["k"], Filtered(big, SortN(1, ["n"])))["a"] == []
+    assert xs.group_by(["k"], Filtered(big, total)) == {"a": 0, "b": 6, None: 7}
+    assert xs.group_by(["k"], Piped(Identity.filter("n > 2"), Histogram("n")))["a"] == []
+    several = xs.group_by(["k"], {"rows": Count(), "h": Histogram("n"), "t": total, "top": Filtered(big, SortN(1, ["n"]))})
+    assert (several["b"]["rows"], several["b"]["h"], several["b"]["t"], len(several["b"]["top"])) == (2, [(3, 2)], 6, 1) and several["a"]["top"] == []
+    three = xs.group_by(["k"], GroupBy(["n"], GroupBy([(F.col("n") % 2).alias("odd")], Count())))
+    assert three == {("a", 1, 1): 1, ("a", 2, 0): 1, ("b", 3, 1): 2, (None, 7, 1): 1}
+    assert xs.group_by(["k"], Filtered(big, GroupBy(["n"], Count()))) == {"a": {}, "b": {3: 2}, None: {7: 1}}
+
+
+def test_folds_per_group_edges(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (None, 3), (0.5, None)], "g double, x int").repartition(3)
+    add = Fold(lambda: 0, lambda s, r: s + (r["x"] or 0), lambda a, b: a + b, schema="bigint")
+    got = {str(r["g"]): r["fold"] for r in GroupBy(["g"], add).table(df).collect()}
+    assert got == {"nan": 3, "None": 3, "0.5": 0}
+    assert GroupBy(["g"], add).run(df.limit(0)) == {}
+    assert sorted(map(str, GroupBy(["g"], Combine("x", lambda a, b: a + b)).table(df).collect())) == sorted(map(str, GroupBy(["g"], Combine("x", "sum")).table(df).select("g", F.col("combine").cast("int")).collect()))
+    few = grouped_fold(spark.range(5_000).selectExpr("id % 700 AS k", "id"), ["k"], lambda: 0, lambda s, r: s + 1, lambda a, b: a + b, most=50)
+    assert few.count() == 700 and sum(load(r["_state"]) for r in few.collect()) == 5_000

@@ -4,6 +4,8 @@ import json
 from dataclasses import dataclass
 from typing import Optional
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tidemill import destinations as D
 from tidemill import types as TT
 from tidemill.functions import address, lists, value
 from tidemill.functions import time as tm
+from tidemill.operators import sinks as S
+from tidemill.operators import sketches
 from tidemill.sources import csv, jdbc, memory, objectstore, parquet, warc, weblog
 from tidemill.sources import json as js
 from tidemill.streaming import windows
@@ -217,3 +221,58 @@ def test_windows_on_a_stream(spark, tmp_path):
     batch = spark.read.parquet(str(src))
     assert windows.sliding(batch, "ts", "1 hour", "30 minutes", ["k"]).count() == 5
     assert windows.session(batch, "ts", "10 minutes", ["k"]).count() == 3
+
+
+def test_archives_of_a_crawl_and_globs(spark, tmp_path):
+    page = record("response", b"page", WARC_Target_URI="http://a.test/")
+    at = tmp_path / "crawl-data" / "CC-TEST-1" / "segments"
+    at.mkdir(parents=True)
+    for i in range(3):
+        (at / f"{i}.warc.gz").write_bytes(gzip.compress(page) + gzip.compress(page))
+    paths = [f"crawl-data/CC-TEST-1/segments/{i}.warc.gz" for i in (0, 2)]
+    (tmp_path / "crawl-data" / "CC-TEST-1" / "warc.paths.gz").write_bytes(gzip.compress("\n".join(paths).encode()))
+    assert warc.read_crawl(spark, "CC-TEST-1", str(tmp_path)).count() == 4
+    assert warc.read_warc(spark, str(at / "[01].warc.gz")).count() == 4
+    assert warc.read_warc(spark, f"file://{at}").count() == 6
+    with pytest.raises(Exception, match="FileNotFound"):
+        warc.read_warc(spark, str(tmp_path / "none")).count()
+
+
+def test_zones_do_not_depend_on_the_session(spark):
+    own = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 12:00:00.25' AS t UNION ALL SELECT TIMESTAMP_NTZ'1969-07-20 20:17:40' UNION ALL SELECT null")
+    try:
+        for zone in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = df.select(F.unix_micros(tm.with_timezone(F.col("t"), "+02:00")).alias("i"), tm.nanosecond(F.col("t")).alias("n"), F.unix_micros(tm.with_timezone(F.col("t"), "Europe/Paris")).alias("p")).collect()
+            assert [tuple(r) for r in got] == [(1704103200250000, 250000000, 1704106800250000), (-14182940000000 - 7200000000, 0, -14182940000000 - 3600000000), (None, None, None)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", own)
+
+
+def test_nested_parquet_shapes(spark, tmp_path):
+    """Nested lists and maps, null and empty at every level, and structures of one field, written by another library."""
+    lists = pa.table({"a": pa.array([[[["x", None], []], None], [], None], pa.list_(pa.list_(pa.list_(pa.string())))), "b": pa.array([1, 2, 3], pa.int32())})
+    maps = pa.table({"a": pa.array([[("k", [(1, True), (2, None)])], [("k", None)], [], None], pa.map_(pa.string(), pa.map_(pa.int32(), pa.bool_())))})
+    deep = pa.struct([("A", pa.int32()), ("b", pa.list_(pa.struct([("e", pa.int32()), ("f", pa.string())]))), ("one", pa.struct([("x", pa.int32())]))])
+    structs = pa.table({"s": pa.array([{"A": 1, "b": [{"e": None, "f": "u"}, None], "one": {"x": None}}, {"A": None, "b": None, "one": None}, None], deep)})
+    for name, t in (("lists", lists), ("maps", maps), ("structs", structs)):
+        pq.write_table(t, tmp_path / f"{name}.parquet")
+    read = lambda n: parquet.read_parquet(spark, str(tmp_path / f"{n}.parquet"))
+    assert [tuple(r) for r in read("lists").collect()] == [([[["x", None], []], None], 1), ([], 2), (None, 3)]
+    assert [r[0] for r in read("maps").collect()] == [{"k": {1: True, 2: None}}, {"k": None}, {}, None]
+    got = [r[0] for r in read("structs").collect()]
+    assert got[0]["A"] == 1 and got[0]["b"][0]["f"] == "u" and got[0]["b"][1] is None and got[0]["one"]["x"] is None and got[1]["one"] is None and got[2] is None
+    only = read("structs").select("s.b.f")
+    assert [r[0] for r in only.collect()] == [["u", None], None, None]
+    assert "struct<s:struct<b:array<struct<f:string>>>>" in only._jdf.queryExecution().executedPlan().toString().replace(" ", "")
+
+
+def test_sketches_built_merged_and_estimated(spark):
+    """Top lists and distinct counts of parts put together equal those of the whole, within their error."""
+    df = spark.range(30_000).selectExpr("id % 3 AS part", "if(id % 5 = 0, 'hot', concat('x', id % 900)) AS v")
+    hll = sketches.HyperLogLog(0.02)
+    merged = df.groupBy("part").agg(hll.build(F.col("v")).alias("s")).agg(hll.estimate(hll.merge(F.col("s"))).alias("e")).first()["e"]
+    assert abs(merged - 721) <= 721 * 0.1
+    assert S.MostFrequent("v", 1, exact=True).run(df) == [("hot", 6_000)]
+    assert S.MostFrequent("v", 1).run(df)[0][0] == "hot"

@@ -27,8 +27,7 @@ year, month, day, ordinal, hour, minute, second = F.year, F.month, F.dayofmonth,
 
 def nanosecond(ts: Column) -> Column:
     """The part below a second, in nanoseconds; Spark keeps microseconds."""
-    micros = F.unix_micros(ts.cast("timestamp"))
-    return (F.pmod(micros, F.lit(1_000_000)) * 1000).cast("int")
+    return (F.pmod(F.extract(F.lit("SECOND"), ts), F.lit(1)) * 1_000_000_000).cast("int")
 
 
 def from_days(days: Column) -> Column:
@@ -52,8 +51,10 @@ def from_seconds(seconds: Column, nanos: Column | None = None) -> Column:
 
 
 def with_timezone(ts: Column, zone: str) -> Column:
-    """A time without zone, taken in ``zone`` (a name or +HH:MM), as an instant."""
-    return F.to_utc_timestamp(ts.cast("timestamp"), F.lit(zone))
+    """A time without zone, taken in ``zone`` (a name or +HH:MM), as an instant; the session's zone has no part in it."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    seconds = F.unix_date(utc.cast("date")).cast("bigint") * 86_400 + F.hour(utc) * 3_600 + F.minute(utc) * 60
+    return F.timestamp_micros(seconds * 1_000_000 + (F.extract(F.lit("SECOND"), utc) * 1_000_000).cast("bigint"))
 
 
 def without_timezone(ts: Column, zone: str) -> Column:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.storage import materialize
+
 ENTRY = T.StructType(
     [
         T.StructField("object_id", T.LongType()),
@@ -115,19 +117,44 @@ def archive_index(archive: DataFrame) -> DataFrame:
     return archive.select("block_id", F.explode("entries").alias("e")).select("block_id", "e.*")
 
 
+_CUT = "object_id bigint, bucket string, object_key string, length bigint, sha256 string, body binary"
+FEW_BLOCKS = 1_000  # so many block ids are compared with each row group's smallest and largest, so that others aren't read
+SOME_ENTRIES = 200_000  # so many index rows, of about 200 bytes each, are broadcast
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block and its wanted entries to one row for each entry, with its bytes."""
+    for b in batches:
+        for entries, block in zip(b.column(1).to_pylist(), b.column(0)):
+            data = memoryview(block.as_buffer()) if block.is_valid else memoryview(b"")
+            for at in range(0, len(entries), 256):
+                some = entries[at : at + 256]
+                bodies = [None if e["length"] is None else bytes(data[e["offset"] : e["offset"] + e["length"]]) for e in some]
+                names = ("object_id", "bucket", "object_key", "length", "sha256")
+                yield pa.RecordBatch.from_arrays([pa.array([e[n] for e in some], _ENTRY_PA.field(n).type) for n in names] + [pa.array(bodies, pa.binary())], names=[*names, "body"])
+
+
 def archive_bodies(archive: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The original bytes: object_id, bucket, object_key, length, sha256, body, intact.
 
-    ``keys`` (bucket, object_key) restricts the lookup. ``intact`` says that the bytes have the checksum
-    recorded for them; it is null for an object without a body.
+    ``keys`` (bucket, object_key; null keys match null) restricts the lookup: they are looked up in the index, without a
+    byte of a block being read, and only the blocks that hold one of them are read, each once and where it lies. Only for
+    more than SOME_ENTRIES objects are those blocks shuffled, each once, to meet their index rows. ``intact`` says that the
+    bytes have the checksum recorded for them; it is null for an object without a body.
     """
-    rows = archive.select("block", F.explode("entries").alias("e"))
-    if keys is not None:
+    if keys is None:
+        rows = archive.select("block", "entries")
+    else:
         wanted = keys.select(F.col("bucket").alias("_b"), F.col("object_key").alias("_k")).distinct()
-        rows = rows.join(wanted, F.col("e.bucket").eqNullSafe(F.col("_b")) & F.col("e.object_key").eqNullSafe(F.col("_k")), "left_semi")
-    body = F.expr("substring(block, int(e.offset + 1), int(e.length))")
-    rows = rows.select("e.object_id", "e.bucket", "e.object_key", "e.length", "e.sha256", body.alias("body"))
-    return rows.withColumn("intact", F.sha2("body", 256) == F.col("sha256"))
+        index = archive_index(archive)
+        hits = index.join(wanted, F.col("bucket").eqNullSafe(F.col("_b")) & F.col("object_key").eqNullSafe(F.col("_k")), "left_semi")
+        per_block = materialize(hits.groupBy("block_id").agg(F.collect_list(F.struct(*[f.name for f in ENTRY.fields])).alias("wanted")), "wanted")
+        n, entries = per_block.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
+        source = archive.select("block_id", "block")
+        if n <= FEW_BLOCKS:
+            source = source.where(F.col("block_id").isin([r["block_id"] for r in per_block.select("block_id").collect()]))
+        rows = source.join(F.broadcast(per_block) if entries <= SOME_ENTRIES else per_block, "block_id").select("block", F.col("wanted").alias("entries"))
+    return rows.mapInArrow(_cut_out, _CUT).withColumn("intact", F.sha2("body", 256) == F.col("sha256"))
 
 
 def inflate(body: bytes) -> bytes:

@@ -18,12 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import sketches
+from tidemill.operators.grouped import STATE, grouped_fold, load, unpickled
 
 
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: the column of a group's result
+RESULT = "_result"
+
+
 def _kept(x: Column, keep: Column | None) -> Column:
     return x if keep is None else F.when(keep, x)
 
@@ -51,6 +56,26 @@ class Sink:
     def run(self, df: DataFrame) -> Any:
         return self.finish(self.table(df).first().asDict())
 
+    def orders(self) -> list[Column]:
+        """How the rows of a group come in its list; for sinks that aren't fused."""
+        return []
+
+    def grouped(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """One row for each group: the keys and its result, as a struct or an array, in the column RESULT."""
+        if self.fused:
+            return df.groupBy(*keys).agg(F.struct(*[c.alias(k) for k, c in self.columns().items()]).alias(RESULT))
+        rows = self.table(df, keys)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(self.orders() or [F.lit(1)])))
+        own = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in keys])
+        listed = rows.select(*keys, F.struct(rank.alias("_r"), own.alias("_v")).alias("_x")).groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_x"))
+        return listed.select(*keys, F.transform("_x", lambda x: x["_v"]).alias(RESULT))
+
+    def value(self, result: Any) -> Any:
+        """What the sink gives for a group, from RESULT; None stands for a group without rows."""
+        if self.fused:
+            return self.finish(result.asDict())
+        return [tuple(r) if len(r) > 1 else r[0] for r in result or []]
+
 
 @dataclass
 class Count(Sink):
@@ -196,7 +221,10 @@ class MostFrequent(Sink):
         if not self.exact:
             return super().table(df, keys)
         counts = df.groupBy(*keys, col(self.x).alias("item")).agg(F.count(F.lit(1)).alias("count")).where(F.col("item").isNotNull())
-        return _top(counts, keys, self.n, [F.desc("count"), F.asc("item")])
+        return _top(counts, keys, self.n, self.orders())
+
+    def orders(self) -> list[Column]:
+        return [F.desc("count"), F.asc("item")]
 
     def run(self, df: DataFrame) -> list[tuple[Any, int]]:
         if not self.exact:
@@ -224,7 +252,10 @@ class MostDistinct(Sink):
         x = col(self.x)
         n = F.count_distinct(x) if self.exact else F.approx_count_distinct(x, self.error_rate)
         counts = df.groupBy(*keys, col(self.key).alias("item")).agg(n.alias("count"))
-        return _top(counts, keys, self.n, [F.desc("count"), F.asc("item")])
+        return _top(counts, keys, self.n, self.orders())
+
+    def orders(self) -> list[Column]:
+        return [F.desc("count"), F.asc("item")]
 
     def run(self, df: DataFrame) -> list[tuple[Any, int]]:
         return [(r["item"], r["count"]) for r in self.table(df).collect()]
@@ -246,6 +277,9 @@ class Histogram(Sink):
     def table(self, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         return df.groupBy(*keys, col(self.x).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
+    def orders(self) -> list[Column]:
+        return [F.asc_nulls_last("value")]
+
     def run(self, df: DataFrame) -> list[tuple[Any, int]]:
         return [(r["value"], r["count"]) for r in self.table(df).orderBy(F.asc_nulls_last("value")).collect()]
 
@@ -258,16 +292,16 @@ class SortN(Sink):
     order: Sequence[str | Column]
     fused = False
 
-    def _order(self) -> list[Column]:
+    def orders(self) -> list[Column]:
         return [F.asc_nulls_last(o) if isinstance(o, str) else o for o in self.order]
 
     def table(self, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         if self.n < 0:
             raise ValueError("n must not be negative")
-        return _top(df, keys, self.n, self._order())
+        return _top(df, keys, self.n, self.orders())
 
     def run(self, df: DataFrame) -> list[Any]:
-        return self.table(df).orderBy(*self._order()).collect()
+        return self.table(df).orderBy(*self.orders()).collect()
 
 
 @dataclass
@@ -289,15 +323,28 @@ class Sample(Sink):
 class Fold(Sink):
     """An opaque fold: ``step(state, row)`` within a partition, ``merge(state, state)`` between them, ``zero()`` at every level.
 
-    Merging goes up a tree, so the driver sees few states. Runs in Python, row by row: use an aggregate where there is one.
+    Merging goes up a tree, so the driver sees few states; per group, states are shuffled by group. Runs in Python, row by
+    row: use an aggregate where there is one. As a table (per group) the states are of the type ``schema``.
     """
 
     zero: Callable[[], Any]
     step: Callable[[Any, Any], Any]
     merge: Callable[[Any, Any], Any]
     depth: int = 2
+    schema: str | None = None
     fused = False
 
+    def grouped(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return grouped_fold(df, keys, self.zero, self.step, self.merge).withColumnRenamed(STATE, RESULT)
+
+    def value(self, result: Any) -> Any:
+        return self.zero() if result is None else load(bytes(result))
+
+    def table(self, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        if not keys or self.schema is None:
+            raise ValueError("a fold is a table per group, and with a schema for its states")
+        return unpickled(grouped_fold(df, keys, self.zero, self.step, self.merge), "fold", self.schema)
+
     def run(self, df: DataFrame) -> Any:
         zero, step, merge = self.zero, self.step, self.merge
 
@@ -330,6 +377,27 @@ class Combine(Sink):
     def columns(self, keep: Column | None = None) -> dict[str, Column]:
         return {"combine": _BUILT_IN[self.f](_kept(col(self.x), keep))}
 
+    def _fold(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        f = self.f
+
+        def merge(a: Any, b: Any) -> Any:
+            return b if a is None else a if b is None else f(a, b)
+
+        named = df.select(*keys, col(self.x).alias("_x"))
+        return grouped_fold(named, keys, lambda: None, lambda s, r: merge(s, r["_x"]), merge)
+
+    def grouped(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return super().grouped(df, keys) if self.fused else self._fold(df, keys).withColumnRenamed(STATE, RESULT)
+
+    def value(self, result: Any) -> Any:
+        return super().value(result) if self.fused else None if result is None else load(bytes(result))
+
+    def table(self, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        if self.fused:
+            return super().table(df, keys)
+        kind = df.select(col(self.x)).schema.fields[0].dataType.simpleString()
+        return unpickled(self._fold(df, keys), "combine", kind)
+
     def run(self, df: DataFrame) -> Any:
         if self.fused:
             return super().run(df)
@@ -395,42 +463,87 @@ class ForEach(Sink):
     def run(self, df: DataFrame) -> None:
         df.foreach(self.f)
 
+    def grouped(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        f = self.f
+        return grouped_fold(df, keys, lambda: None, lambda _, r: f(r), lambda a, _: a).withColumnRenamed(STATE, RESULT)
+
+    def value(self, result: Any) -> None:
+        return None
+
 
 @dataclass
 class GroupBy(Sink):
-    """A sink, or several by name, for each group; groups may be nested by giving another GroupBy."""
+    """A sink, or several by name, for each group; groups may be nested by giving another GroupBy.
+
+    As a table: sinks that are aggregates give a row for each group, others the rows of their own tables; several by name of
+    which some are no aggregates give a row for each group with an array for those. Every group of the rows before any
+    filter of the sink appears, except in the rows of a sink's own table.
+    """
 
     keys: Sequence[str | Column]
     sink: Any
     fused = False
 
+    def _keyed(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        named = [(k if isinstance(k, str) else f"_g{i}_{len(df.columns)}", col(k)) for i, k in enumerate(self.keys)]
+        new = {n: c for n, c in named if n not in df.columns}
+        return (df.withColumns(new) if new else df), [n for n, _ in named]
+
     def table(self, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-        named = [(k if isinstance(k, str) else f"_g{i}", col(k)) for i, k in enumerate(self.keys)]
-        src = df.withColumns({n: c for n, c in named if n not in df.columns}) if any(n not in df.columns for n, _ in named) else df
-        own = [*keys, *[n for n, _ in named]]
-        if isinstance(self.sink, GroupBy):
-            return self.sink.table(src, own)
+        src, own = self._keyed(df)
+        own = [*keys, *own]
         if isinstance(self.sink, dict):
             from tidemill.plans.fork import fork_table
 
-            return fork_table(src, self.sink, own)
+            return fork_table(src, self.sink, own) if all(s.fused for s in self.sink.values()) else self._side_by_side(src, own)
         return self.sink.table(src, own)
 
-    def run(self, df: DataFrame) -> dict[Any, Any]:
-        own = len(self.keys) + (len(self.sink.keys) if isinstance(self.sink, GroupBy) else 0)
-        table = self.table(df)
-        out: dict[Any, Any] = {}
-        inner = self.sink.sink if isinstance(self.sink, GroupBy) else self.sink
-        single = isinstance(inner, Sink) and inner.single
-        for r in table.collect():
-            key = r[0] if own == 1 else tuple(r[:own])
-            rest = dict(zip(table.columns[own:], r[own:]))
-            if single:
-                out[key] = inner.finish(rest)
-            elif isinstance(inner, dict):
-                out[key] = rest
-            else:
-                out.setdefault(key, []).append(tuple(r[own:]) if len(rest) > 1 else r[own])
+    def _side_by_side(self, df: DataFrame, own: Sequence[str]) -> DataFrame:
+        """A row for each group: the fused sinks' columns from one aggregation, and a column for each of the others."""
+        from tidemill.plans.fork import fused_columns
+
+        named = {n: s for n, s in self.sink.items() if s.fused}
+        out = df.groupBy(*own).agg(*[c for *_, c in fused_columns(named)]) if named else df.select(*own).distinct()
+        for name, s in self.sink.items():
+            if not s.fused:
+                one = s.grouped(df, own)
+                one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(own)], F.col(RESULT).alias(name))
+                on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(own)]
+                out = out.join(one, on, "left").drop(*[f"_k{i}" for i in range(len(own))])
         return out
 
+    def grouped(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        src, own = self._keyed(df)
+        if isinstance(self.sink, dict):
+            full = self._side_by_side(src, [*keys, *own])
+            part = full.select(*keys, *own, F.struct(*[c for c in full.columns if c not in keys and c not in own]).alias(RESULT))
+        else:
+            part = self.sink.grouped(src, [*keys, *own])
+        if not keys:
+            return part
+        return part.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(k) for k in own], F.col(RESULT))).alias(RESULT))
+
+    def _value(self, result: Any) -> Any:
+        if not isinstance(self.sink, dict):
+            return self.sink.value(result)
+        out = {}
+        for name, s in self.sink.items():
+            parts = list(s.columns()) if s.fused else []
+            out[name] = s.finish({p: result[name if len(parts) == 1 else f"{name}_{p}"] for p in parts}) if s.fused else s.value(result[name])
+        return out
 
+    def value(self, result: Any) -> dict[Any, Any]:
+        n = len(self.keys)
+        return {r[0] if n == 1 else tuple(r[:n]): self._value(r[n]) for r in result or []}
+
+    def run(self, df: DataFrame) -> dict[Any, Any]:
+        if not isinstance(self.sink, GroupBy):
+            return self.value(self.grouped(df, []).collect())
+        # keys of nested groups side by side
+        levels, src, own = [self], df, []
+        while isinstance(levels[-1].sink, GroupBy):
+            levels.append(levels[-1].sink)
+        for g in levels:
+            src, names = g._keyed(src)
+            own += names
+        return GroupBy(own, levels[-1].sink).run(src)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from tidemill.operators import joins
-from tidemill.operators.sinks import Sink
+from tidemill.operators.sinks import RESULT, Sink
 from tidemill.types import as_schema
 
 Step = Callable[[DataFrame], DataFrame]
@@ -101,9 +101,17 @@ class Pipe:
         return Piped(self, other)
 
 
+def _every(df: DataFrame, keys: Sequence[str], kept: DataFrame) -> DataFrame:
+    """The results of ``kept`` for every group of ``df``; null for groups without one."""
+    every = df.select(*keys).distinct().select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
+    on = [F.col(f"_k{i}").eqNullSafe(F.col(f"`{k}`")) for i, k in enumerate(keys)]
+    rest = [F.col(f"`{c}`") for c in kept.columns if c not in keys]
+    return every.join(kept.withColumn("_has", F.lit(True)), on, "left").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *rest, "_has")
+
+
 @dataclass
 class Piped(Sink):
-    """A sink behind a pipe."""
+    """A sink behind a pipe. Per group, groups whose rows the pipe drops still appear, with what the sink gives for no rows."""
 
     before: Pipe
     sink: Sink
@@ -125,16 +133,21 @@ class Piped(Sink):
         out = self.sink.table(self.before(df), keys)
         if not keys or not self.sink.fused:
             return out
-        # a group whose rows the pipe drops still appears, with what the sink gives for no rows
         names = list(self.sink.columns())
         none = self.sink.table(self.before(df).limit(0))
-        every = df.select(*keys).distinct().select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
-        on = None
-        for i, k in enumerate(keys):
-            one = F.col(f"_k{i}").eqNullSafe(F.col(f"`{k}`"))
-            on = one if on is None else on & one
-        full = every.join(out.withColumn("_has", F.lit(True)), on, "left").crossJoin(none.select(*[F.col(f"`{n}`").alias(f"_n_{n}") for n in names]))
-        return full.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.when(F.col("_has"), F.col(f"`{n}`")).otherwise(F.col(f"_n_{n}")).alias(n) for n in names])
+        full = _every(df, keys, out).crossJoin(none.select(*[F.col(f"`{n}`").alias(f"_n_{n}") for n in names]))
+        return full.select(*keys, *[F.when(F.col("_has"), F.col(f"`{n}`")).otherwise(F.col(f"_n_{n}")).alias(n) for n in names])
+
+    def grouped(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        if not keys:
+            return self.sink.grouped(self.before(df), keys)
+        if self.sink.fused:
+            full = self.table(df, keys)
+            return full.select(*keys, F.struct(*[c for c in full.columns if c not in keys]).alias(RESULT))
+        return _every(df, keys, self.sink.grouped(self.before(df), keys)).drop("_has")
+
+    def value(self, result: Any) -> Any:
+        return self.sink.value(result)
 
     def run(self, df: DataFrame) -> Any:
         return self.sink.run(self.before(df))
@@ -142,7 +155,7 @@ class Piped(Sink):
 
 @dataclass
 class Filtered(Sink):
-    """A sink behind a filter, fused: the condition goes into the aggregate, so every group appears."""
+    """A sink behind a filter; fused if the sink is: the condition goes into the aggregate. Per group, every group appears."""
 
     predicate: Column
     sink: Sink
@@ -150,6 +163,10 @@ class Filtered(Sink):
     def __post_init__(self) -> None:
         self.fused = self.sink.fused
 
+    @property
+    def single(self) -> bool:
+        return self.sink.single
+
     def columns(self, keep: Column | None = None) -> dict[str, Column]:
         return self.sink.columns(self.predicate if keep is None else keep & self.predicate)
 
@@ -159,6 +176,15 @@ class Filtered(Sink):
     def table(self, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         return super().table(df, keys) if self.fused else self.sink.table(df.where(self.predicate), keys)
 
+    def grouped(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        if self.fused:
+            return super().grouped(df, keys)
+        kept = self.sink.grouped(df.where(self.predicate), keys)
+        return _every(df, keys, kept).drop("_has") if keys else kept
+
+    def value(self, result: Any) -> Any:
+        return self.sink.value(result)
+
     def run(self, df: DataFrame) -> Any:
         return self.sink.run(df.where(self.predicate))
 

@@ -31,6 +31,17 @@ def p1_lookup(spark: SparkSession, d: str) -> DataFrame:
     return bodies.select("object_id", "bucket", "object_key", "length", F.md5("body").alias("md5"), "intact")
 
 
+@catalog.query(
+    "SELECT object_id, bucket, object_key, octet_length(body) AS length, CASE WHEN body IS NOT NULL THEN md5(body) END AS md5, CASE WHEN body IS NOT NULL THEN true END AS intact"
+    " FROM cf_objects WHERE (bucket, object_key) IN (SELECT (bucket, object_key) FROM cf_objects GROUP BY bucket, object_key HAVING count(*) > 1)"
+)
+def p1_lookup_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of the objects whose keys were rewritten or listed again, looked up by key in the archive's index."""
+    keys = table(spark, d, "cf_objects").groupBy("bucket", "object_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bodies = archive.archive_bodies(_archive(spark, d), keys)
+    return bodies.select("object_id", "bucket", "object_key", "length", F.md5("body").alias("md5"), "intact")
+
+
 def _forest(spark: SparkSession, d: str) -> DataFrame:
     return sessions.gap_forest(table(spark, d, "cloudfront"), ["remote_ip", "user_agent"], "time", drop_null=("remote_ip",))
 

@@ -10,7 +10,7 @@ from tidemill.destinations import to_json, write_csv, write_json, write_parquet
 from tidemill.functions import address, lists, value
 from tidemill.functions import time as tm
 from tidemill.operators import joins, sketches
-from tidemill.operators.sinks import All, Any_, Collect, Combine, Count, GroupBy, Histogram, Max, MaxBy, Mean, Min, MinBy, MostDistinct, MostFrequent, Sample, SortN, StdDev, Sum
+from tidemill.operators.sinks import All, Any_, Collect, Combine, Count, Fold, GroupBy, Histogram, Max, MaxBy, Mean, Min, MinBy, MostDistinct, MostFrequent, Sample, SortN, StdDev, Sum
 from tidemill.plans.flow import Flow
 from tidemill.plans.pipe import Filtered, Identity, Piped
 from tidemill.sources.csv import read_csv
@@ -215,16 +215,15 @@ def hyperloglog_merged(spark: SparkSession, d: str) -> DataFrame:
     return merged.select((F.abs(F.col("e") - F.col("n")) <= F.col("n") * 0.05).alias("within"), "n")
 
 
-@catalog.query("SELECT event_type, true AS within FROM events GROUP BY 1")
+@catalog.query("SELECT count(DISTINCT url) AS n_values, true AS never_low, true AS within FROM cloudfront")
 def count_min_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """A count-min sketch is never too low, and too high by no more than its tolerance."""
-    events = table(spark, d, "events")
+    """A count-min sketch of many more values than counters: never too low, and for 99 % of the values too high by its tolerance at most."""
+    cf = table(spark, d, "cloudfront").where(F.col("url").isNotNull())
     cm = sketches.CountMin(0.99, 0.002)
-    counters = cm.table(events, F.col("event_type"))
-    exact = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    total = events.agg(F.count(F.lit(1)).alias("total"))
-    est = cm.estimate(counters, exact, "event_type").crossJoin(F.broadcast(total))  # one row
-    return est.select("event_type", ((F.col("estimate") >= F.col("n")) & (F.col("estimate") <= F.col("n") + F.col("total") * 0.002)).alias("within"))
+    exact = cf.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    total = cf.agg(F.count(F.lit(1)).alias("total"))
+    est = cm.estimate(cm.table(cf, F.col("url")), exact, "url").crossJoin(F.broadcast(total))  # one row
+    return est.agg(F.count(F.lit(1)).alias("n_values"), F.bool_and(F.col("estimate") >= F.col("n")).alias("never_low"), (F.avg((F.col("estimate") <= F.col("n") + F.col("total") * 0.002).cast("int")) >= 0.99).alias("within"))
 
 
 @catalog.query("SELECT least(count(*), 100) AS n, true AS distinct_rows FROM events")
@@ -266,6 +265,74 @@ def inspect_observed(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(seen.get["seen"]).cast("bigint").alias("seen"), F.round(F.lit(seen.get["amount"]).cast("double"), 2).alias("amount"))
 
 
+# ---------------------------------------------------------------- any sink per group, several sinks over one table
+
+
+@catalog.query("SELECT event_type, CAST(sum(length(props)) AS BIGINT) AS fold FROM events GROUP BY 1")
+def group_fold(spark: SparkSession, d: str) -> DataFrame:
+    """An opaque fold for each group: states of the partitions are shuffled and merged."""
+    chars = Fold(lambda: 0, lambda s, r: s + len(r["props"]), lambda a, b: a + b, schema="bigint")
+    return flow(spark, d, "events").map("event_type", "props").table(GroupBy(["event_type"], chars))
+
+
+@catalog.query("SELECT o_orderpriority, max(o_totalprice) AS combine FROM orders GROUP BY 1")
+def group_combine_function(spark: SparkSession, d: str) -> DataFrame:
+    return flow(spark, d, "orders").map("o_orderpriority", "o_totalprice").table(GroupBy(["o_orderpriority"], Combine("o_totalprice", lambda a, b: max(a, b))))
+
+
+@catalog.query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS count FROM lineitem GROUP BY ALL")
+def group_nested_three(spark: SparkSession, d: str) -> DataFrame:
+    return flow(spark, d, "lineitem").table(GroupBy(["l_returnflag"], GroupBy(["l_linestatus"], GroupBy(["l_linenumber"], Count()))))
+
+
+@catalog.query(
+    """WITH h AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 300 GROUP BY ALL)
+SELECT u.user_id, h.event_type AS value, h.n AS count FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN h ON u.user_id = h.user_id"""
+)
+def group_histogram_keep_empty(spark: SparkSession, d: str) -> DataFrame:
+    """A histogram behind a filter for each group; groups that the filter empties have one row of nulls."""
+    per = flow(spark, d, "events").table(GroupBy(["user_id"], {"h": Filtered(F.col("value") > 300, Histogram("event_type"))}))
+    return per.select("user_id", F.explode_outer("h").alias("x")).select("user_id", "x.value", "x.count")
+
+
+@catalog.query(
+    """WITH g AS (SELECT event_type, count(*) AS rows, max(value) AS best FROM events GROUP BY 1),
+t AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events)
+SELECT g.event_type, rows, best, t.r AS rank, t.value FROM g JOIN t USING (event_type) WHERE t.r <= 3"""
+)
+def group_mixed_sinks(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregates and a list of rows for each group, side by side."""
+    sinks = {"rows": Count(), "best": Max("value"), "top": SortN(3, [F.desc("value"), "event_id"])}
+    per = flow(spark, d, "events").map("event_type", "event_id", "value").table(GroupBy(["event_type"], sinks))
+    return per.select("event_type", "rows", "best", F.posexplode("top").alias("rank", "x")).select("event_type", "rows", "best", (F.col("rank") + 1).cast("bigint").alias("rank"), "x.value")
+
+
+@catalog.query(
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS item, count(DISTINCT event_type) AS n FROM events GROUP BY 1)
+SELECT 'rows' AS sink, CAST(NULL AS VARCHAR) AS item, count(*) AS n FROM events UNION ALL SELECT 'histogram', event_type, count(*) FROM events GROUP BY event_type
+UNION ALL (SELECT 'top', item, n FROM (SELECT CAST(event_type AS VARCHAR) AS item, count(DISTINCT user_id) AS n FROM events GROUP BY 1) ORDER BY n DESC, item LIMIT 3)"""
+)
+def fork_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """A fork of an aggregate, a histogram and a top list over one persisted table."""
+    got = flow(spark, d, "events").map("event_type", "user_id").fork(rows=Count(), histogram=Histogram("event_type"), top=MostDistinct("event_type", "user_id", 3, exact=True))
+    rows = [("rows", None, got["rows"])] + [(k, item, n) for k in ("histogram", "top") for item, n in got[k]]
+    return spark.createDataFrame(rows, "sink string, item string, n bigint")
+
+
+@catalog.query("SELECT count(*) AS seen, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
+def for_each_row(spark: SparkSession, d: str) -> DataFrame:
+    """A function called with every row, where the row is; what it saw is told by accumulators."""
+    sc = spark.sparkContext
+    seen, ids = sc.accumulator(0), sc.accumulator(0)
+
+    def look(row) -> None:  # noqa: ANN001
+        seen.add(1)
+        ids.add(row["event_id"])
+
+    flow(spark, d, "events").map("event_id").for_each(look)
+    return spark.createDataFrame([(seen.value, ids.value)], "seen bigint, ids bigint")
+
+
 # ---------------------------------------------------------------- time, addresses, dynamic values, lists
 
 
@@ -305,6 +372,40 @@ def json_key_group(spark: SparkSession, d: str) -> DataFrame:
     return flow(spark, d, "events").map(k, "user_id").df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+_KINDS = """SELECT event_id, value > 250 AS b, value AS f, CAST(ts AS DATE) AS dt, event_type AS s, CAST(user_id AS BIGINT) AS i, true AS is_f, false AS is_b,
+ CASE WHEN value > 250 THEN 'BOOLEAN' END AS kind, CAST(NULL AS BIGINT) AS not_i, 3 AS n_list, CAST(event_id AS BIGINT) AS second FROM events"""
+
+
+@catalog.query(_KINDS)
+def value_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Dynamic values of several kinds: tested, read as their type, read as another (null), lists and groups inside."""
+    text = F.to_json(F.struct((F.col("value") > 250).alias("b"), F.col("value").alias("f"), F.col("ts").cast("date").cast("string").alias("dt"), F.col("event_type").alias("s"), F.col("user_id").alias("i"), F.array(F.lit(0).cast("bigint"), "event_id", "user_id").alias("l"), F.struct(F.col("event_id").alias("x")).alias("g")))
+    v = value.parse(text)
+    return flow(spark, d, "events").map("event_id", v.alias("v")).df.select(
+        "event_id",
+        value.get(F.col("v"), "bool", "$.b").alias("b"),
+        value.get(F.col("v"), "f64", "$.f").alias("f"),
+        value.get(F.col("v"), "date", "$.dt").alias("dt"),
+        value.get(F.col("v"), "string", "$.s").alias("s"),
+        value.get(F.col("v"), "i64", "$.i").alias("i"),
+        value.is_kind(F.col("v"), "f64", "$.f").alias("is_f"),
+        value.is_kind(F.col("v"), "bool", "$.f").alias("is_b"),
+        F.when(value.get(F.col("v"), "bool", "$.b"), value.kind_of(F.try_variant_get("v", "$.b", "variant"))).alias("kind"),
+        value.try_get(F.col("v"), "i64", "$.s").alias("not_i"),
+        F.size(value.get(F.col("v"), "array<bigint>", "$.l")).alias("n_list"),
+        F.when(value.get(F.col("v"), "i64", "$.l[1]") == value.get(F.col("v"), "i64", "$.g.x"), value.get(F.col("v"), "i64", "$.g.x")).alias("second"),
+    )
+
+
+@catalog.query("SELECT count(*) FILTER (l_returnflag = 'A') AS n, count(DISTINCT l_orderkey) FILTER (l_returnflag = 'A') AS orders FROM lineitem")
+def parquet_path_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """Files chosen by a predicate of their path."""
+    path = new_path(spark, "flags")
+    table(spark, d, "lineitem").select("l_returnflag", "l_orderkey").write.partitionBy("l_returnflag").parquet(path)
+    kept = read_parquet_directory(spark, path, keep=lambda p: "/l_returnflag=A/" in p)
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("orders"))
+
+
 @catalog.query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS norm2 FROM embeddings")
 def list_functions(spark: SparkSession, d: str) -> DataFrame:
     squares = lists.map_list(F.col("embedding"), lambda x: x.cast("double") * x.cast("double"))
@@ -331,19 +432,24 @@ def _as_line(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("-"))
 
 
-@catalog.query("SELECT request_id, edge_location, response_bytes, remote_ip, method, status, user_agent, request_bytes, time_taken, time FROM cloudfront WHERE time IS NOT NULL AND edge_location IS NOT NULL AND response_bytes IS NOT NULL AND remote_ip IS NOT NULL AND time_taken IS NOT NULL AND url IS NOT NULL")
+_LOGGED = "time edge_location response_bytes remote_ip method host url status user_agent referer cookie result_type request_id request_bytes time_taken forwarded_for response_result_type http_version fle_status fle_encrypted_fields".split()
+_REQUIRED = " AND ".join(f"{c} IS NOT NULL" for c in ("time", "edge_location", "response_bytes", "remote_ip", "time_taken", "url"))
+
+
+@catalog.query(f"SELECT {', '.join(_LOGGED)}, ssl_protocol_cipher.protocol AS protocol, ssl_protocol_cipher.cipher AS cipher FROM cloudfront WHERE {_REQUIRED}")
 def weblog_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Rows written out as log lines of 26 fields and parsed again."""
-    cf = table(spark, d, "cloudfront").where(" AND ".join(f"{c} IS NOT NULL" for c in ("time", "edge_location", "response_bytes", "remote_ip", "time_taken", "url")))
-    dash = F.lit("-")
-    status = F.coalesce(F.col("status").cast("string"), F.lit("000"))
+    """Rows written out as log lines of 26 fields, every field from the row, and parsed again; of rows that have the fields which no line is without."""
+    cf = table(spark, d, "cloudfront").where(_REQUIRED)
+    url = lambda pattern: F.regexp_extract("url", pattern, 1)
+    query = F.when(F.col("url").contains("?"), url(r"\?(.*)$")).otherwise("-")
+    ssl = lambda part: F.coalesce(F.col(f"ssl_protocol_cipher.{part}"), F.lit("-"))
     cells = [
-        F.substring(F.col("time").cast("string"), 1, 10), F.substring(F.col("time").cast("string"), 12, 8), F.col("edge_location"), _as_line("response_bytes"), F.col("remote_ip"), F.col("method"), F.col("host"), F.lit("/"), status,
-        _as_line("referer"), _as_line("user_agent"), dash, _as_line("cookie"), F.col("result_type"), F.col("request_id"), F.col("host"), F.lit("https"), _as_line("request_bytes"),
-        F.format_string("%d.%03d", F.floor(F.col("time_taken") / 1000), F.pmod("time_taken", F.lit(1000))), _as_line("forwarded_for"), dash, dash, F.col("response_result_type"), F.col("http_version"), dash, dash,
+        F.substring(F.col("time").cast("string"), 1, 10), F.substring(F.col("time").cast("string"), 12, 8), F.col("edge_location"), _as_line("response_bytes"), F.col("remote_ip"), F.col("method"), F.col("host"), url(r"^[a-z]+://[^/?]+([^?]*)"), F.coalesce(F.col("status").cast("string"), F.lit("000")),
+        _as_line("referer"), _as_line("user_agent"), query, _as_line("cookie"), F.col("result_type"), F.col("request_id"), url(r"^[a-z]+://([^/?]+)"), url(r"^([a-z]+)://"), _as_line("request_bytes"),
+        F.format_string("%d.%03d", F.floor(F.col("time_taken") / 1000), F.pmod("time_taken", F.lit(1000))), _as_line("forwarded_for"), ssl("protocol"), ssl("cipher"), F.col("response_result_type"), F.col("http_version"), _as_line("fle_status"), _as_line("fle_encrypted_fields"),
     ]
     parsed = parse_lines(cf.select(F.concat_ws("\t", *cells).alias("value")))
-    return parsed.select("request_id", "edge_location", "response_bytes", "remote_ip", "method", "status", "user_agent", "request_bytes", "time_taken", "time")
+    return parsed.select(*_LOGGED, F.col("ssl_protocol_cipher.protocol").alias("protocol"), F.col("ssl_protocol_cipher.cipher").alias("cipher"))
 
 
 @catalog.query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -403,9 +509,10 @@ def semi_join(spark: SparkSession, d: str) -> DataFrame:
     return c.join(big, c["c_custkey"] == big["o_custkey"], "left_semi").select("c_custkey")
 
 
-@catalog.query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@catalog.query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    """Customers without a large order."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 400000")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 

@@ -12,7 +12,8 @@ from tidemill.types import as_schema
 def read_csv(spark: SparkSession, paths: str | list[str], schema: Any = None, *, header: bool = False, separator: str = ",", quote: str = '"', errors: str = "raise") -> DataFrame:
     """Rows of text files. Without a schema the types are inferred, by a pass over the data.
 
-    A row is judged by all columns of the schema as soon as one of them is read; a bare count reads none.
+    A row is judged by all columns of the schema as soon as one of them is read; a bare count reads none. With errors="null"
+    only the columns asked for are parsed, and judged.
 
     ``errors``: "raise" fails on a row that doesn't fit the schema, "null" keeps it with nulls and its text in
     ``_corrupt_record``, "drop" leaves it out.
@@ -26,4 +27,4 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: Any = None, *,
         if errors == "null":
             wanted = wanted.add("_corrupt_record", "string")
         reader = reader.schema(wanted)
-    return reader.option("columnPruning", "false").csv(paths)
+    return reader.option("columnPruning", errors == "null").csv(paths)

@@ -1,16 +1,19 @@
-"""Web archives: a data source named ``warc`` with one partition per file.
+"""Web archives: a data source named ``warc`` with one partition per file, read as a stream.
 
-Register it with ``register(spark)``, then ``spark.read.format("warc").load(path)``; or call ``read_warc``.
+Register it with ``register(spark)``, then ``spark.read.format("warc").load(path)``; or call ``read_warc``. Paths are of the local
+file system, or addresses that Arrow's file systems know (s3:// or s3a://, gs://, hdfs://), whose credentials come from the
+environment of the executors.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
-import os
+import io
 from collections.abc import Iterator
 from typing import BinaryIO
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -45,6 +48,29 @@ def pages(f: BinaryIO, largest: int | None = None) -> Iterator[tuple[str | None,
             yield h.get("warc-ip-address"), h.get("warc-target-uri", "").strip("<>") or None, body
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _files(path: str) -> list[str]:
+    """The files that a path stands for: itself, those below it, or those that it matches as a glob; as addresses of its scheme."""
+    system, own = _system(path)
+    scheme = path.split("://", 1)[0] + "://" if "://" in path else ""
+    wild = next((i for i, x in enumerate(own.split("/")) if set(x) & set("*?[")), None)
+    base = own if wild is None else "/".join(own.split("/")[:wild]) or "/"
+    info = system.get_file_info(base)
+    if info.type == fs.FileType.File:
+        return [path]
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [x.path for x in system.get_file_info(fs.FileSelector(base, recursive=True)) if x.type == fs.FileType.File]
+    if wild is not None:
+        found = [x for x in found if x.count("/") == own.count("/") and fnmatch.fnmatchcase(x, own)]
+    return sorted(scheme + x for x in found if not x.rsplit("/", 1)[-1].startswith((".", "_")))
+
+
 class _Part(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -55,18 +81,19 @@ class WarcReader(DataSourceReader):
         self.path, self.largest = options["path"], options.get("largest")
 
     def partitions(self) -> list[InputPartition]:
-        out: list[str] = []
-        for p in self.path.split(","):
-            p = p.removeprefix("file://")
-            out += [os.path.join(d, n) for d, _, names in os.walk(p) for n in names] if os.path.isdir(p) else glob.glob(p) or [p]
-        return [_Part(p) for p in sorted(out) if not os.path.basename(p).startswith((".", "_"))]
+        return [_Part(x) for p in self.path.split(",") for x in _files(p)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        opener = gzip.open if partition.path.endswith(".gz") else open
-        with opener(partition.path, "rb") as f:
+        with _open(partition.path) as f:
             yield from pages(f, int(self.largest) if self.largest else None)
 
 
+def _open(path: str) -> BinaryIO:
+    system, own = _system(path)
+    raw = system.open_input_stream(own, compression=None, buffer_size=1 << 20)
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
+
+
 class WarcSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -90,3 +117,14 @@ def read_warc(spark: SparkSession, path: str, largest: int | None = None) -> Dat
     if largest is not None:
         reader = reader.option("largest", str(largest))
     return reader.load(path)
+
+
+def crawl_files(crawl_id: str, base: str = "s3://commoncrawl", listing: str = "warc.paths.gz") -> list[str]:
+    """The addresses of a crawl's archive files, from the listing published with it: one path a line, below ``base``."""
+    with _open(f"{base}/crawl-data/{crawl_id}/{listing}") as f:
+        return [f"{base}/{line.decode().strip()}" for line in f.read().splitlines() if line.strip()]
+
+
+def read_crawl(spark: SparkSession, crawl_id: str, base: str = "s3://commoncrawl", largest: int | None = None) -> DataFrame:
+    """The pages of a whole crawl, by its id."""
+    return read_warc(spark, ",".join(crawl_files(crawl_id, base)), largest)

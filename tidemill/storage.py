@@ -68,5 +68,6 @@ def release(spark: SparkSession | None = None) -> None:
 def _clean() -> None:
     import shutil
 
+    release()  # also what lies in a cluster's shared folder
     for app_dir in _own.values():
         shutil.rmtree(app_dir, ignore_errors=True)
