@@ -156,3 +156,16 @@ def test_frequent_edges(spark):
     assert frequent.frequent_values(spark.createDataFrame([(None,)] * 9, "u string"), "u").count() == 0
     with pytest.raises(ValueError):
         frequent.frequent_values(df, "u", per_mille=0)
+
+
+@pytest.mark.parametrize("listed", [1_000, 2])
+def test_frequent_by_a_small_share(spark, monkeypatch, listed):
+    """One row in five thousand; the heavy buckets as a list and as a table."""
+    monkeypatch.setattr(frequent, "LISTED", listed)
+    rnd = random.Random(4)
+    values = [f"v{int(rnd.paretovariate(0.6)) % 5_000}" for _ in range(20_000)] + [None] * 50
+    df = spark.createDataFrame([(v,) for v in values], "u string").repartition(4)
+    want = {v: n for v, n in Counter(values).items() if v is not None and n * 5_000 >= len(values) and n >= 5}
+    assert {r["value"]: r["n"] for r in frequent.frequent_values(df, "u", per_mille=0.2).collect()} == want
+    with pytest.raises(ValueError):
+        frequent.frequent_values(df, "u", per_mille=0.0001)

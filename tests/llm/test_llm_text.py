@@ -131,6 +131,17 @@ def test_long_and_repeated_texts(spark, planted):
     assert [(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()] == [(1, 5)]
 
 
+def test_long_tags_and_comments_do_not_break_a_passage():
+    assert leakage.words(f"one <a href='{'x' * 900}'>two</a> <!-- {'three > ' * 200}--> four &amp; 5 < 6") == ["one", "two", "four", "5", "6"]
+
+
+def test_seeds_are_made_once_in_a_worker():
+    import pickle
+
+    shared = pickle.loads(pickle.dumps(leakage._Shared([(1, ["a", "b"] * 8, [True] * 16)])))
+    assert shared.block() is shared.block() and shared.block().ids == [1]
+
+
 def test_alignment_by_brute_force():
     rnd = random.Random(5)
     for _ in range(60):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 MASKS = ("11111", "110111", "1101011", "11010011", "110010101")
 LEAST_COMMON = 0.87  # share of equal words that a stretch needs if its rare words don't decide: 14 of 16
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--.{0,400}?-->", re.S)
+_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FILTER = 1 << 20
 
@@ -96,6 +96,24 @@ class _Block:
         self.maybe[(self.hash & np.uint64(_FILTER - 1)).astype(np.int64)] = True
 
 
+class _Shared:
+    """A block of items as it is broadcast; its seeds are made once in each worker, not in each task."""
+
+    def __init__(self, items: list[tuple[int, list[str], list[bool]]]) -> None:
+        self.items, self._block = items, None
+
+    def __getstate__(self) -> list:
+        return self.items
+
+    def __setstate__(self, items: list) -> None:
+        self.__init__(items)
+
+    def block(self) -> _Block:
+        if self._block is None:
+            self._block = _Block(self.items)
+        return self._block
+
+
 def align(item: np.ndarray, doc: np.ndarray, differ: float) -> tuple[float, int, int, np.ndarray, int]:
     """The best local alignment of two word sequences: score, first and last place in the item, which places match, words of the document.
 
@@ -200,7 +218,7 @@ def leaks(
     least_rare: float = 0.5,
     least_same: float = 0.75,
     least_cover: int = 6,
-    block_words: int = 200_000,
+    block_words: int = 1_000_000,
     details: bool = False,
 ) -> DataFrame:
     """Each document with each item of which it carries a stretch of at least ``min_words`` words: doc_id, item_id.
@@ -213,7 +231,8 @@ def leaks(
     With ``details`` also item_words (words of the item that the stretch spans), same_words and doc_words. Null and
     empty texts carry nothing and are never found. Items of fewer than ``min_words`` words can't be found. An id that
     occurs in several rows is given for each of them. ``block_words`` bounds the words of the items that are broadcast
-    at a time; further items are taken in further passes over the documents.
+    at a time, and held with their seeds by a worker (about 200 bytes a word); further items are taken in further passes
+    over the documents.
     """
     spark = documents.sparkSession
     kinds = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
@@ -221,10 +240,10 @@ def leaks(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}" + (", item_words int, same_words int, doc_words int" if details else "")
     out = None
     for block in _blocks(items.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")), block_words, min_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(_Shared(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            items_ = _Block(shared.value)
+            items_ = shared.value.block()
             get = items_.vocab.get
             for b in batches:
                 texts = b.column(1).to_pylist()
