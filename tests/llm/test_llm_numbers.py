@@ -169,3 +169,9 @@ def test_frequent_by_a_small_share(spark, monkeypatch, listed):
     assert {r["value"]: r["n"] for r in frequent.frequent_values(df, "u", per_mille=0.2).collect()} == want
     with pytest.raises(ValueError):
         frequent.frequent_values(df, "u", per_mille=0.0001)
+
+
+def test_frequent_in_many_rows(spark):
+    """Counts times a share go beyond 32 bits."""
+    df = spark.range(3_000_000).selectExpr("if(id % 2 = 0, 'even', concat('x', id)) AS u")
+    assert [tuple(r) for r in frequent.frequent_values(df, "u", per_mille=400).select("value", "n", "n_rows").collect()] == [("even", 1_500_000, 3_000_000)]

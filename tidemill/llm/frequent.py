@@ -36,7 +36,7 @@ def frequent_values(df: DataFrame, column: str, *, per_mille: float = 5, least:
     counts = value.select(F.explode(slots).alias("s")).groupBy("s.h", "s.b").agg(F.count(F.lit(1)).alias("n"))
     # hashes x (buckets + 1) rows at most; the total comes with them, so that the table is read once for both
     total = F.sum(F.when(F.col("h") == 0, F.col("n"))).over(_all())
-    enough = lambda n, rows: (n * F.lit(1_000_000) >= rows * F.lit(share)) & (n >= least)
+    enough = lambda n, rows: (n * F.lit(1_000_000).cast("bigint") >= rows * F.lit(share).cast("bigint")) & (n >= least)
     heavy = counts.withColumn("total", total).where(F.col("b").isNotNull() & enough(F.col("n"), F.col("total")))
     kept = heavy.collect()  # at most hashes x 1000 / per_mille rows
     if not kept:
