@@ -120,36 +120,30 @@ def align(item: np.ndarray, doc: np.ndarray, differ: float) -> tuple[float, int,
     A match counts 1, a word substituted, left out or put in costs ``differ``.
     """
     m, n = len(item), len(doc)
-    h = np.zeros(n + 1)
-    back = np.zeros((m + 1, n + 1), np.int8)  # 0 stop, 1 diagonal, 2 item word left out, 3 word put in
+    gain = np.where(item[:, None] == doc[None, :], 1.0, -differ)
+    h = np.zeros((m + 1, n + 1))
     steps = np.arange(n + 1) * differ
-    best, where = 0.0, (0, 0)
+    cur = np.empty(n + 1)
     for i in range(m):
-        diag = h[:-1] + np.where(doc == item[i], 1.0, -differ)
-        up = h - differ
-        cur = np.maximum(up, 0.0)
-        cur[1:] = np.maximum(cur[1:], diag)
-        move = np.where(up >= cur, 2, 0).astype(np.int8)
-        move[1:][diag >= cur[1:]] = 1
-        run = np.maximum.accumulate(cur + steps) - steps
-        move[run > cur + 1e-9] = 3
-        move[run <= 0] = 0
-        back[i + 1], h = move, run
-        k = int(run.argmax())
-        if run[k] > best + 1e-9:
-            best, where = float(run[k]), (i + 1, k)
-    i, j = where
+        np.subtract(h[i], differ, out=cur)
+        np.maximum(cur[1:], h[i, :-1] + gain[i], out=cur[1:])
+        np.maximum(cur, 0.0, out=cur)
+        cur += steps
+        np.maximum.accumulate(cur, out=h[i + 1])  # words put in
+        h[i + 1] -= steps
+    end, j = divmod(int(h.argmax()), n + 1)
+    best, last, i = float(h[end, j]), j, end
     same = np.zeros(m, bool)
-    while i > 0 and j >= 0 and back[i, j]:
-        step = back[i, j]
-        if step == 1:
+    # back along the steps that give each score
+    while i > 0 and j >= 0 and h[i, j] > 1e-9:
+        if j and h[i - 1, j - 1] + gain[i - 1, j - 1] >= h[i, j] - 1e-9:
             same[i - 1] = item[i - 1] == doc[j - 1]
             i, j = i - 1, j - 1
-        elif step == 2:
+        elif h[i - 1, j] - differ >= h[i, j] - 1e-9:
             i -= 1
         else:
             j -= 1
-    return best, i, where[0], same, where[1] - j
+    return best, i, end, same, last - j
 
 
 def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover: int, long_cover: int) -> list[tuple[int, int, np.ndarray]]:
@@ -182,7 +176,8 @@ def _candidates(block: _Block, ids: np.ndarray, owner: np.ndarray, least_cover:
     # the item's words under the hits, each counted once
     ones = [np.flatnonzero(np.frombuffer(x.encode(), "u1") == 49) for x in MASKS]
     cover = np.concatenate([(a[:, None] + np.array([o[j] for o in ones])[mk][:, None]) for j in range(5)], 1)
-    flat = np.unique(np.stack([np.repeat(np.cumsum(np.isin(np.arange(len(pair)), starts)) - 1, 5), cover.ravel()], 1), axis=0)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pair))))
+    flat = np.stack(np.divmod(np.unique(np.repeat(group, 5) * len(block.words) + cover.ravel()), len(block.words)), 1)
     n_cover = np.bincount(flat[:, 0], minlength=len(starts))
     n_rare = np.bincount(flat[:, 0], weights=block.rare[flat[:, 1]], minlength=len(starts))
     # runs of the item's words of which nearly all are under hits
