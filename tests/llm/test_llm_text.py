@@ -227,6 +227,19 @@ def test_a_threshold_ends_where_wrong_documents_outweigh(spark):
     assert op == "<=" and 0.59 < cut < 5
 
 
+def test_a_threshold_parts_values_that_agree_in_six_digits():
+    """Rounding a threshold never takes away what its test covers, which had left nothing to set the next one on."""
+    x = np.array([[1 / 3, 1.0]] * 6 + [[1 / 3 + 1e-9, 1.0]] * 6 + [[0.5, 2.0]] * 6)
+    y = np.array([True] * 6 + [False] * 12)
+    tests = quality._tighten([("v", "<=", 0.4), ("w", "<=", 1.5)], x, y, ["v", "w"])
+    assert quality.Rule(quality.OTHER, tuple(tests)).covers(x, ["v", "w"]).tolist() == y.tolist()
+    for op, inside in (("<=", 2 / 3), (">=", 1 / 6)):  # nothing is beyond: the value itself
+        ((_, _, cut),) = quality._tighten([("v", op, inside)], np.full((4, 1), inside), np.ones(4, bool), ["v"])
+        assert cut == inside
+    grown = quality._grow(x, y, ["v", "w"])
+    assert quality.Rule(quality.OTHER, tuple(grown)).covers(x, ["v", "w"]).tolist() == y.tolist()
+
+
 # ---------------------------------------------------------------- wrong charsets
 
 CLEAN = {

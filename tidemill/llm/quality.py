@@ -202,6 +202,16 @@ class Rule:
         return hit
 
 
+def _between(inside: float, outside: float | None) -> float:
+    """A threshold that parts a value the test covers from the next one that it doesn't: halfway, in as few digits (six at least) as that takes."""
+    if outside is not None:
+        for digits in range(6, 18):
+            cut = float(f"{(inside + outside) / 2:.{digits}g}")
+            if inside <= cut < outside or outside < cut <= inside:
+                return cut
+    return float(inside)
+
+
 def _grow(x: np.ndarray, y: np.ndarray, names: list[str], most: int = 4) -> list[tuple[str, str, float]]:
     """Tests added one at a time by FOIL's gain until no negative is covered or nothing is gained."""
     tests, live = [], np.ones(len(x), bool)
@@ -219,9 +229,8 @@ def _grow(x: np.ndarray, y: np.ndarray, names: list[str], most: int = 4) -> list
                     gain = np.where(edge & (pp > 0), pp * (np.log2(pp / (pp + nn)) - before), -1.0)
                 k = int(np.argmax(gain))
                 if gain[k] > best[0]:
-                    # halfway to the next value; past the end there is none
-                    cut = (v[k] + v[k + 1]) / 2 if k + 1 < len(v) else v[k]
-                    best = (gain[k], (c, op, float(f"{cut:.6g}")))
+                    # something is gained only where documents are left out, so there is a next value
+                    best = (gain[k], (c, op, _between(v[k], v[k + 1]) if op == "<=" else _between(v[k + 1], v[k])))
         if best[1] is None:
             break
         tests.append(best[1])
@@ -251,7 +260,7 @@ def _tighten(tests: list, x: np.ndarray, y: np.ndarray, names: list[str]) -> lis
         col, lab = col[order], lab[order]
         worth = np.where(np.append(col[1:] != col[:-1], True), np.cumsum(np.where(lab, 2.0, -3.0)), -np.inf)
         k = int(worth.argmax())
-        tests[t] = (c, op, float(f"{(col[k] + col[k + 1]) / 2 if k + 1 < len(col) else col[k]:.6g}"))
+        tests[t] = (c, op, _between(col[k], col[k + 1] if k + 1 < len(col) else None))
     return tests
 
 
