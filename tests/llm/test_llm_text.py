@@ -319,6 +319,25 @@ def test_known_spots_are_of_all_pages_and_without_misread_ones(spark):
     assert known("Ёлкина") and not any(known(w) for w in bad.rstrip(".").split() if len(w) > 3)
 
 
+def test_dictionaries_are_of_the_words_of_all_pages(spark):
+    """Every page counts for its language, however many are asked for and in whatever order they come; lines with unknown spots don't."""
+    rows = []
+    for k in range(240):
+        lang = list(CLEAN)[k % 3]
+        more = "<p>Der Größenwahn wächst &amp; bleibt</p>" if k in (3, 60, 120, 237) else f"<p>Bäckerei Unbekänn{k}ter</p>" if k % 3 == 0 else ""
+        rows.append((k, f"http://h{k % 7}.test/{k}", f'<html lang="{lang}"><p>{CLEAN[lang][k // 3 % 3]}</p>{more}</html>'.encode()))
+    df = pages_of(spark, [*rows, (240, None, None), (241, None, b"")])
+    m = encoding.train(df, sample=1)
+    assert set(m.languages) == set(CLEAN)
+    assert m.languages == encoding.train(df.repartition(7)).languages
+    known = encoding.Hashes.of(encoding.level(w) for lines in CLEAN.values() for x in [*lines, "Größenwahn wächst"] for w in encoding.spots(x))
+    got = {(r["lang"], r["text"], r["letter"]): r for r in encoding._words(df, known, body_col="contents", most=1 << 20).collect()}
+    assert {w: got["de", w, False]["n"] for w in ("Größenwahn", "bleibt", "Bäckerei", "Läufer", "Die")} == {"Größenwahn": 4, "bleibt": 4, "Bäckerei": 27, "Läufer": 27, "Die": 27}
+    assert got["de", "Größenwahn", False]["line"] == "Der Größenwahn wächst & bleibt" and ("de", "Unbekänn0ter", False) not in got
+    assert got["fr", "â", True]["n"] == 27 * 2 and not got["fr", "â", True]["several"] and got["fr", "é", True]["several"]
+    assert got["ru", "Второй", False]["n"] == 27
+
+
 def test_verdicts_are_the_same_without_those_sent_along(spark, model):
     """The verdicts on frequent spots only spare work."""
     bare = encoding.Model(model.known, model.marks, model.languages)
