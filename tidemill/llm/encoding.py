@@ -457,19 +457,14 @@ def _letters(text: str) -> set[str]:
     return {c for c in text if c >= "\x80" and c.isalpha()}
 
 
-def _size(text: str) -> tuple[int, bytes]:
-    """Lines are in order of their bytes' number, then of the bytes."""
-    data = text.encode()
-    return len(data), data
-
-
 def _words(pages: DataFrame, known: Hashes, *, body_col: str, most: int) -> DataFrame:
-    """The words of all lines all of whose spots are known, and their letters beyond ASCII, by the language that their page
-    declares: lang, text, letter, n, total, line, several.
+    """The words (of letters, or with a character beyond ASCII) of all lines all of whose spots are known, and their letters
+    beyond ASCII, by the language that their page declares: lang, text, letter, n, total, line, several.
 
-    Counted over all pages: n is the number of pages that have a word, or the sum of that over the words with a letter, and
-    total the sum over the letters of the language. A word comes with the shortest line that has it, of those of 9
-    to 1,200 bytes, if there is one; several tells whether different lines have a letter. The most frequent words are given, as many as fill ``most`` bytes, and all letters.
+    Counted over all pages: n is the number of pages that have a word (once for each punctuation at its ends), or the sum of
+    that over the words with a letter, and total the sum over the letters of the language. A word comes with the shortest
+    line that has it, of those of 9 to 1,200 bytes, if there is one; several tells whether different lines have a letter. The
+    most frequent words are given, as many as fill ``most`` bytes, and all letters.
     """
     shared = pages.sparkSession.sparkContext.broadcast(known)
     kinds = {"lang": pa.string(), "text": pa.string(), "letter": pa.bool_(), "n": pa.int64(), "line": pa.string(), "last": pa.string()}
@@ -477,23 +472,15 @@ def _words(pages: DataFrame, known: Hashes, *, body_col: str, most: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(1 << 17)
         def word(part: bytes) -> str | None:
-            """A part between white space without the punctuation at its ends; None if it has a spot that isn't known."""
+            """A part between white space without the punctuation at its ends, empty for one of ASCII that isn't all letters;
+            None if it has a spot that isn't known."""
             text = part.decode()
-            if not text.isascii() and not all((x := level(s)).isascii() or shared.value.has(_hash(x)) for s in spots(text)):
-                return None
-            return text.strip(_EDGES)
-
-        def first(lines: list[bytes]) -> dict[str, str]:
-            """Of each word the first line that has it."""
-            out: dict[str, str] = {}
-            seen: set[bytes] = set()
-            for q in lines:
-                if new := set(q.split()) - seen:
-                    seen |= new
-                    for x in new:
-                        out.setdefault(word(x), q.decode())
-            return out
+            if text.isascii():
+                text = text.strip(_EDGES)
+                return text if text.isalpha() else ""
+            return text.strip(_EDGES) if all((x := level(s)).isascii() or shared.value.has(_hash(x)) for s in spots(text)) else None
 
+        good: set[bytes] = set()  # parts that have no unknown spot
         for x in batches:
             got: defaultdict[str, Counter] = defaultdict(Counter)
             lines: defaultdict[str, set[bytes]] = defaultdict(set)
@@ -502,28 +489,50 @@ def _words(pages: DataFrame, known: Hashes, *, body_col: str, most: int) -> Data
                 m = _LANG.search(text)
                 lang = m.group(1).lower() if m else "und"
                 data = html.unescape(text).encode("utf-8", "replace").translate(_ENDS)
-                own = set(map(word, set(data.split())))
+                own = set(data.split())
                 clean = set(data.split(b"\n"))
-                if None in own:  # then line by line
-                    clean = {q for q in clean if None not in map(word, q.split())}
-                    own = set(map(word, {p for q in clean for p in q.split()}))
-                own.discard("")
+                new = own - good
+                if bad := {p for p in new if word(p) is None}:  # then line by line
+                    clean = {q for q in clean if bad.isdisjoint(q.split())}
+                    own = {p for q in clean for p in q.split()}
+                if len(good) > 1 << 20:
+                    good.clear()
+                good |= new - bad
                 got[lang].update(own)
                 lines[lang].update(clean)
             rows = []
-            for lang, own in got.items():
-                ordered = sorted({q.strip() for q in lines[lang] if 8 < len(q) <= 1_200}, key=lambda q: (len(q), q))
-                shortest = first(ordered)
-                longest = first([q for q in reversed(ordered) if not q.isascii()])
-                letters: defaultdict[str, list] = defaultdict(list)
+            for lang, parts in got.items():
+                own: Counter = Counter()
+                for p, n in parts.items():
+                    own[word(p)] += n
+                del own[""]
+                ordered = sorted({q.strip() for q in lines[lang] if 8 < len(q) <= 1_200})
+                ordered.sort(key=len)
+                shortest: dict[str, int] = {}
+                seen: set[bytes] = set()
+                for i, q in enumerate(ordered):
+                    if new := set(q.split()) - seen:
+                        seen |= new
+                        for p in new:
+                            shortest.setdefault(word(p), i)
+                texts = {i: ordered[i].decode() for i in set(shortest.values())}
+                rows += [(lang, w, False, n, texts.get(shortest.get(w)), None) for w, n in own.items()]
+                letters: Counter = Counter()
+                least: dict[str, int] = {}
                 for w, n in own.items():
-                    rows.append((lang, w, False, n, shortest.get(w), None))
                     if not w.isascii():
+                        i = shortest.get(w, len(ordered))
                         for c in _letters(w):
-                            letters[c].append((n, shortest.get(w, w), longest.get(w, w)))
-                for c, of in letters.items():
-                    ns, low, high = zip(*of)
-                    rows.append((lang, c, True, sum(ns), min(low, key=_size), max(high, key=_size)))
+                            letters[c] += n
+                            least[c] = min(i, least.get(c, i))
+                first = {c: texts.get(i, c) for c, i in least.items()}
+                last = dict(first)
+                left = set(letters)
+                for q in reversed(ordered):
+                    if not q.isascii() and (new := left.intersection(line := q.decode())):
+                        last.update(dict.fromkeys(new, line))
+                        left -= new
+                rows += [(lang, c, True, n, first[c], last[c]) for c, n in letters.items()]
             cols = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], names=list(kinds))
 
